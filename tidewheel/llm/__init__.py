@@ -9,7 +9,9 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "decontaminate",
     "bpe",
+    "bagminhash",
     "secrets",
 )
 
