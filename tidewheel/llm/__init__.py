@@ -13,6 +13,7 @@ MODULES = (
     "bpe",
     "bagminhash",
     "secrets",
+    "quality",
 )
 
 
