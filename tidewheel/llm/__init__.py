@@ -14,6 +14,7 @@ MODULES = (
     "bagminhash",
     "secrets",
     "quality",
+    "rans",
     "rollup",
 )
 
