@@ -42,7 +42,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: A key table of so many bytes at most is broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
 _STEP = np.uint64(0xD1342543DE82EF95)
 _TO_UNIT = 2.0**-53
@@ -204,12 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def similarity(edges: DataFrame, sets: DataFrame, sets_bytes: int) -> DataFrame:
+def similarity(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """edges (a, b) with j, the exact multiset Jaccard similarity."""
     a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     b = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    if sets_bytes <= BROADCAST_BYTES:
-        b = F.broadcast(b)
     both = edges.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("j"))
@@ -251,7 +249,6 @@ def link(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, text: str, ke
     sets = materialise(sets, "shingles")
     if sets.select("node").distinct().count() < sets.count():  # rows that repeat key and text
         sets = materialise(sets.dropDuplicates(["node"]), "shingles")
-    sets_bytes = 8 * (sets.agg(F.sum(F.size("grams").cast("long"))).first()[0] or 0)
     far = 2 * threshold - 1
     buckets, links, labels = members.withColumnRenamed("bucket", "g"), None, None
     turn = 0
@@ -261,7 +258,7 @@ def link(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, text: str, ke
         pivots = labelled.groupBy("g").agg(F.min(order).alias("v"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least != most").select("g", F.col("v.p").alias("p"), F.col("v.pc").alias("pc"))
         asked = materialise(labelled.join(pivots, "g").filter("node != p"), "asked")
         pairs = asked.filter("c != pc").select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
-        judged = materialise(similarity(pairs, sets, sets_bytes), "judged")
+        judged = materialise(similarity(pairs, sets), "judged")
         new = judged.filter(F.col("j") >= threshold).select("a", "b")
         if judged.isEmpty():
             break
