@@ -11,6 +11,7 @@ from importlib import import_module
 MODULES = (
     "language",
     "decontaminate",
+    "kneser_ney",
     "bpe",
     "bagminhash",
     "secrets",
