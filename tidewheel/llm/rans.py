@@ -48,9 +48,11 @@ CHECKPOINT_STEPS = 256
 BLOCK_TOKENS = 1 << 20
 LOW = 1 << 31
 #: Words whose ids a worker keeps, in each of two generations.
-MEMO = 350_000
+MEMO = 450_000
 #: White space to Python that is none to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]").search
+#: ASCII marks that never join a letter before them in a token.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -84,26 +86,43 @@ class WordTokenizer:
         rows = [None if t and SEPARATORS(t) else (t or "").split() for t in texts]
         memo, older = self.memo, self.older
         missing: dict[str, bytes] = {}
+        parted: list[tuple[str, str, str]] = []
+
+        def want(w: str) -> None:
+            if w not in memo:
+                old = older.get(w)
+                if old is None:
+                    missing[w] = b""
+                else:
+                    memo[w] = old
+
         for row in rows:
             for w in row or ():
-                if w not in memo:
+                if w not in memo and w not in missing:
                     old = older.get(w)
-                    if old is None:
-                        missing[w] = b""
-                    else:
+                    if old is not None:
                         memo[w] = old
+                        continue
+                    core = w.rstrip(MARKS)
+                    low, tail = core.lower(), w[len(core) :]
+                    if core.isalpha() and low.isalpha() and "\u03a3" not in core:  # tokens end with a run of letters; case is dropped
+                        want(low)
+                        if tail:
+                            want(tail)
+                        if low != w:
+                            parted.append((w, low, tail))
+                            memo[w] = b""
+                    else:
+                        missing[w] = b""
         names = list(missing)
         for begin in range(0, len(names), 4096):
             part = names[begin : begin + 4096]
-            missing.update(zip(part, self.raw(part), strict=True))
-        both = memo | missing if len(missing) > len(memo) else None
-        if both is None:
-            memo.update((w, x) for w, x in missing.items())
-            both = memo
-        out = [b"".join([both[w] for w in row]) if row is not None else self.raw([t or ""])[0] for row, t in zip(rows, texts, strict=True)]
-        self.memo = both
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo if len(self.memo) <= 2 * MEMO else {}
+            memo.update(zip(part, self.raw(part), strict=True))
+        for w, low, tail in parted:
+            memo[w] = memo[low] + memo[tail] if tail else memo[low]
+        out = [b"".join([memo[w] for w in row]) if row is not None else self.raw([t or ""])[0] for row, t in zip(rows, texts, strict=True)]
+        if len(memo) > MEMO:
+            self.memo, self.older = {}, memo if len(memo) <= 2 * MEMO else {}
         return out
 
 
