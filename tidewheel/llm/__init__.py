@@ -9,6 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "perspectives",
     "language",
     "decontaminate",
     "kneser_ney",

@@ -236,14 +236,15 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_decode(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids array<int>, decoded string) of every row, in one pass without a shuffle."""
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded string"
+def encode_decode(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, ids array<int>, decoded string) of every row, in one pass without a shuffle."""
+    names = [key, *keep]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields) + ", ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in slices(batches, "t", 1 << 20):
-            rows = [bpe.encode(t) if t else [] for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, "__text", 1 << 20):
+            rows = [bpe.encode(t) if t else [] for t in batch.column(len(names)).to_pylist()]
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
             ends = np.concatenate([[0], np.cumsum(sizes)])
             flat = np.fromiter(chain.from_iterable(rows), np.int64, int(ends[-1]))
@@ -252,9 +253,9 @@ def encode_decode(docs: DataFrame, path: str, *, text: str = "text", key: str =
             data = raw.tobytes()
             texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], [key, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids, pa.array(texts, pa.string())], [*names, "ids", "decoded"])
 
-    return docs.select(F.col(key), F.col(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def op5_bpe_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
