@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = (
+    "sources.adapter",
+    "operators.features",
+    "plans.scores",
+)
 
 
 def queries() -> dict:
@@ -12,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {k: q for m in MODULES for k, q in import_module(f"tidewheel.{m}").ORACLE.items()}
+    return {k: q for m in MODULES for k, q in getattr(import_module(f"tidewheel.{m}"), "ORACLE", {}).items()}
