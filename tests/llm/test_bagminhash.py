@@ -96,3 +96,24 @@ def test_signatures_estimate_weighted_similarity(repeat):
     h, start = gram_hashes(w, first, 5)
     s = B.signatures(h, start, 4000)
     assert abs((s[0] == s[1]).mean() - jaccard(multiset(a), multiset(b))) < 0.04
+
+
+def test_a_large_family_with_edits_of_their_own(spark):
+    """A base, many copies of it that are not linked to each other, and copies of copies."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for family in range(2):
+        base = [f"f{family}w{k}" for k in rng.integers(0, 500, 150)]
+        rows.append((len(rows), " ".join(base)))
+        for c in range(25):
+            copy = list(base)
+            for at in rng.choice(150, int(rng.integers(2, 7)), replace=False):
+                copy[at] = f"n{family}x{c}y{at}"
+            rows.append((len(rows), " ".join(copy)))
+            if c % 5 == 0:
+                copy[75] = f"again{c}"
+                rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame([(d, t, "en", "s", 0.0, "x") for d, t in rows], SCHEMA)
+    want = brute(rows)
+    assert len(set(want.values())) > 3
+    assert {r.doc_id: r.class_id for r in B.classes(df).collect()} == want

@@ -10,15 +10,22 @@ that fills all registers are never made, so the work is a few points for each
 register, not for each shingle and register.
 
 Signatures are cut into bands. Equal texts become one node first. Documents that
-agree in a band meet in a bucket; no bucket's pairs are listed. Each round gives
-every open bucket one pivot, and members of other components are verified
-against it by exact multiset overlap. 1 - similarity is a metric, so members far
-from the pivot (below 0.6) cannot be linked to those near it (0.8 or more) and
-go to a bucket of their own; the pivot leaves, as all its links are known; a
-bucket whose members are one component is closed. Rounds end when no bucket is
-open, so every bucket link is either found, implied by its component, or ruled
-out. With 25 bands of 5, a pair at exactly 0.8 meets in no band with a
-probability of 5e-5.
+agree in a band meet in a bucket. Buckets of at most DIRECT nodes are compared
+pair by pair, a constant number for each. Larger ones are joined into clusters,
+and no cluster's pairs are listed. Each round gives a cluster one pivot, the node
+with most bucket mates, and compares its members with that.
+
+* Members at 0.8 or more are one class with the pivot.
+* For those between 0.6 and 0.8, and all members nearer, the symmetric difference
+  D to the pivot is kept. |x ^ y| = |D(x) ^ D(y)|, so a link of an unlinked member
+  needs a difference in common with the other that is half of the other's or
+  more. A prefix filter on the rarest half of each difference finds all such
+  pairs; copies of one text with edits of their own share hardly any.
+* Those below 0.6 cannot be linked to any at 0.8 or more, as 1 - similarity is a
+  metric; with the middle ones they go on to the next round.
+
+So every link inside a bucket is found, implied by its class, or ruled out. With
+25 bands of 5, a pair at exactly 0.8 meets in no band with a probability of 5e-5.
 
 Defined cases: a text of fewer than five words, but not none, is one shingle;
 null and word-free texts are a class of their own each; null and repeated keys
@@ -41,6 +48,8 @@ from .common import byte_class, gram_hashes, materialise, mix, slices, table, ut
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
+#: Buckets up to this size are compared pair by pair.
+DIRECT = 8
 #: A key table of so many bytes at most is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
@@ -224,7 +233,7 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", thresho
     nodes = signed.filter("bands is not null").groupBy("h1", "h2").agg(F.first("bands").alias("bands"), F.min("row_key").alias("row_key")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")
     meets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    shared = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(meets.join(shared, "bucket"), "buckets")
     labels = link(docs, nodes, members, text=text, key=key, threshold=threshold, shingle=shingle)
     named = nodes.select("h1", "h2", "node")
@@ -249,28 +258,66 @@ def link(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, text: str, ke
     sets = materialise(sets, "shingles")
     if sets.select("node").distinct().count() < sets.count():  # rows that repeat key and text
         sets = materialise(sets.dropDuplicates(["node"]), "shingles")
-    far = 2 * threshold - 1
-    buckets, links, labels = members.withColumnRenamed("bucket", "g"), None, None
-    turn = 0
+    few = members.filter(F.col("n") <= DIRECT).select("bucket", "node")
+    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").filter("a > b").select("a", "b").distinct()
+    links = materialise(similarity(pairs, sets).filter(F.col("j") >= threshold).select("a", "b"), "links")
+    large = members.filter(F.col("n") > DIRECT)
+    degree = large.groupBy("node").agg(F.sum("n").alias("degree"))
+    open_ = large.select("bucket", "node").join(degree, "node").withColumn("active", F.lit(True))
     while True:
-        labelled = buckets.withColumn("c", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("node", "g", F.coalesce("label", "node").alias("c"))
-        order = F.struct((F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("o"), F.col("node").alias("p"), F.col("c").alias("pc"))
-        pivots = labelled.groupBy("g").agg(F.min(order).alias("v"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least != most").select("g", F.col("v.p").alias("p"), F.col("v.pc").alias("pc"))
-        asked = materialise(labelled.join(pivots, "g").filter("node != p"), "asked")
-        pairs = asked.filter("c != pc").select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
-        judged = materialise(similarity(pairs, sets), "judged")
-        new = judged.filter(F.col("j") >= threshold).select("a", "b")
-        if judged.isEmpty():
+        open_ = materialise(open_, "open")
+        if open_.isEmpty():
             break
-        links = new if links is None else links.union(new)
-        labels = materialise(components(links), "labels")
-        seen = asked.join(judged.select(F.col("a").alias("node"), F.col("b").alias("p"), "j"), ["node", "p"], "left").withColumn("j", F.coalesce("j", F.lit((far + threshold) / 2)))  # not compared: may be anywhere
-        split = seen.groupBy("g").agg(F.min("j").alias("low")).filter(F.col("low") < far).select("g")
-        near = seen.filter(F.col("j") >= far).select("node", "g")
-        away = seen.filter(F.col("j") < threshold).join(split, "g", "left_semi").select("node", F.xxhash64("g", F.lit(turn), F.lit("far")).alias("g"))
-        turn += 1
-        buckets = materialise(near.union(away), "open")
-    return labels
+        more, open_ = cluster_round(open_, sets, threshold)
+        links = links.union(more)
+    return materialise(components(links), "labels")
+
+
+def cluster_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, what stays open) after comparing every cluster of open buckets with one pivot.
+
+    open_ has bucket, node, degree and active: whether the node is still without
+    a pivot near it.
+    """
+    far, part = 2 * threshold - 1, (1 - threshold) / (1 + threshold)
+    order = F.struct("active", "degree", "node")
+    head = open_.groupBy("bucket").agg(F.max(order).alias("h")).select("bucket", F.col("h.node").alias("b"))
+    label = components(open_.join(head, "bucket").select(F.col("node").alias("a"), "b"))
+    nodes = open_.groupBy("node").agg(F.max("degree").alias("degree"), F.bool_or("active").alias("active"))
+    placed = materialise(nodes.join(label, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label"), "placed")
+    pivots = placed.groupBy("c").agg(F.max(order).alias("h")).select("c", F.col("h.node").alias("v"))
+    x = sets.select("node", F.col("grams").alias("gx"))
+    v = sets.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
+    both = placed.select("node", "c").join(pivots, "c").join(x, "node").join(v, "v")
+    diff = F.array_union(F.array_except("gx", "gv"), F.array_except("gv", "gx"))
+    seen = both.select("node", "c", "v", F.size("gx").alias("nx"), F.size("gv").alias("nv"), diff.alias("d"))
+    seen = seen.withColumn("j", (F.col("nx") + F.col("nv") - F.size("d")) / (F.col("nx") + F.col("nv") + F.size("d")))
+    seen = materialise(seen.withColumn("d", F.when(F.col("j") >= far, F.col("d"))), "seen")
+    star = seen.filter((F.col("j") >= threshold) & (F.col("node") != F.col("v"))).select(F.col("node").alias("a"), F.col("v").alias("b"))
+    middle = seen.filter((F.col("j") >= far) & (F.col("j") < threshold))
+    near = seen.filter(F.col("j") >= far).join(middle.select("c").distinct(), "c", "left_semi")
+    each = near.select("node", "c", F.explode("d").alias("e"))
+    often = each.groupBy("c", "e").agg(F.count(F.lit(1)).alias("f"))
+    rarest = each.join(often, ["c", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d"))
+    sized = rarest.join(near.select("node", "c", "j", "nx", "nv"), "node")
+    n = F.size("d")
+    # the overlap that any link of an unlinked member with this one needs, and that a link of this unlinked one needs
+    probe = n - F.greatest(F.lit(1), F.floor((n + part * (F.col("nv") - F.col("nx"))) / 2)) + 1
+    index = n - F.greatest(F.lit(1), F.floor(n - part * (1 + 1 / threshold) * F.col("nx"))) + 1
+    prefix = lambda length: F.explode(F.filter(F.slice("d", 1, F.greatest(F.lit(1), length).cast("int")), lambda e: e["f"] > 1))
+    sized = materialise(sized, "rarest")
+    asks = sized.select(F.col("node").alias("b"), "c", prefix(probe).alias("e")).select("b", "c", "e.e")
+    has = sized.filter(F.col("j") < threshold).select(F.col("node").alias("a"), "c", prefix(index).alias("e")).select("a", "c", "e.e")
+    pairs = has.join(asks, ["c", "e"]).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda k: near.select(F.col("node").alias(k), F.col("d").alias(f"d{k}"), F.col("nx").alias(f"n{k}"))
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    judged = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", apart.alias("x"))
+    found = judged.filter((F.col("na") + F.col("nb") - F.col("x")) / (F.col("na") + F.col("nb") + F.col("x")) >= threshold).select("a", "b")
+    links = materialise(star.union(found), "links")
+    rest = seen.filter(F.col("j") < threshold).select("node", (F.col("j") < far).alias("still"))
+    left = open_.drop("active").join(rest, "node").withColumnRenamed("still", "active")
+    alive = left.groupBy("bucket").agg(F.bool_or("active").alias("any"), F.count(F.lit(1)).alias("n")).filter("any AND n > 1").select("bucket")
+    return links, left.join(alive, "bucket", "left_semi").select("bucket", "node", "degree", "active")
 
 
 def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
