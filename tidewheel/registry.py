@@ -8,6 +8,7 @@ MODULES: tuple[str, ...] = (
     "sources.adapter",
     "operators.features",
     "plans.scores",
+    "plans.labels",
 )
 
 
