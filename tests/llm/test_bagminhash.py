@@ -98,8 +98,11 @@ def test_signatures_estimate_weighted_similarity(repeat):
     assert abs((s[0] == s[1]).mean() - jaccard(multiset(a), multiset(b))) < 0.04
 
 
-def test_a_large_family_with_edits_of_their_own(spark):
+@pytest.mark.parametrize("limits", [(64, 8), (3, 1), (6, 2)])
+def test_a_large_family_with_edits_of_their_own(spark, monkeypatch, limits):
     """A base, many copies of it that are not linked to each other, and copies of copies."""
+    monkeypatch.setattr(B, "DIRECT", limits[0])
+    monkeypatch.setattr(B, "PIVOTS", limits[1])
     rng = np.random.default_rng(11)
     rows = []
     for family in range(2):

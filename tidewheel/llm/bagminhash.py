@@ -11,18 +11,20 @@ register, not for each shingle and register.
 
 Signatures are cut into bands. Equal texts become one node first. Documents that
 agree in a band meet in a bucket. Buckets of at most DIRECT nodes are compared
-pair by pair, a constant number for each. Larger ones are joined into clusters,
-and no cluster's pairs are listed. Each round gives a cluster one pivot, the node
-with most bucket mates, and compares its members with that.
-
-* Members at 0.8 or more are one class with the pivot.
-* For those between 0.6 and 0.8, and all members nearer, the symmetric difference
-  D to the pivot is kept. |x ^ y| = |D(x) ^ D(y)|, so a link of an unlinked member
-  needs a difference in common with the other that is half of the other's or
-  more. A prefix filter on the rarest half of each difference finds all such
-  pairs; copies of one text with edits of their own share hardly any.
-* Those below 0.6 cannot be linked to any at 0.8 or more, as 1 - similarity is a
-  metric; with the middle ones they go on to the next round.
+pair by pair, a constant number for each; sizes that rule a link out spare the
+comparison. Of larger buckets no pairs are listed. Each round compares their
+members with PIVOTS of them, those with most bucket mates. 1 - similarity is a
+metric, so, with the nearest pivot of its bucket, a member is one of these.
+
+* At 0.8 or more it is linked with the pivot and leaves the bucket: whatever else
+  it could be linked with there is at 0.6 or more from the pivot.
+* From 0.6 to 0.8 it leaves too: all its links are at 0.4 or more from the pivot.
+  Of all those the symmetric difference D to the pivot is kept.
+  |x ^ y| = |D(x) ^ D(y)|, so a link needs a difference in common that is a known
+  part of either. A prefix filter on the rarest part of each difference finds all
+  such pairs; copies of one text with edits of their own share hardly any.
+* Below 0.6 it stays for the next round, or, once at most DIRECT stay, for a
+  comparison pair by pair.
 
 So every link inside a bucket is found, implied by its class, or ruled out. With
 25 bands of 5, a pair at exactly 0.8 meets in no band with a probability of 5e-5.
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +51,9 @@ from .common import byte_class, gram_hashes, materialise, mix, slices, table, ut
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Buckets up to this size are compared pair by pair.
-DIRECT = 8
+#: Buckets up to this size are compared pair by pair, larger ones with so many pivots a round.
+DIRECT = 64
+PIVOTS = 8
 #: A key table of so many bytes at most is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
@@ -140,7 +144,7 @@ def _node(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(docs: DataFrame, *, text: str, key: str, bands: int, rows: int, shingle: int) -> DataFrame:
-    """(key, row_key, h1, h2, bands) of every row; bands is null for a text without words."""
+    """(key, row_key, h1, h2, size, bands) of every row: size counts shingles, bands is null for a text without words."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +158,9 @@ def sign(docs: DataFrame, *, text: str, key: str, bands: int, rows: int, shingle
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(band[some].reshape(-1)))
             lists = pa.ListArray.from_buffers(lists.type, len(some), [pa.array(some).buffers()[1], lists.buffers()[1]], children=[lists.values])
             h1, h2 = _node(w, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h1), pa.array(h2), lists], [key, "row_key", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h1), pa.array(h2), pa.array(np.diff(start)), lists], [key, "row_key", "h1", "h2", "size", "bands"])
 
-    return docs.select(F.col(key), row_key(key, text).alias("row_key"), F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, row_key long, h1 long, h2 long, bands array<long>")
+    return docs.select(F.col(key), row_key(key, text).alias("row_key"), F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, row_key long, h1 long, h2 long, size long, bands array<long>")
 
 
 def row_key(key: str, text: str):
@@ -230,9 +234,9 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", thresho
     node is null for a text without words.
     """
     signed = materialise(sign(docs, text=text, key=key, bands=bands, rows=rows, shingle=shingle), "signatures")
-    nodes = signed.filter("bands is not null").groupBy("h1", "h2").agg(F.first("bands").alias("bands"), F.min("row_key").alias("row_key")).withColumn("node", F.monotonically_increasing_id())
+    nodes = signed.filter("bands is not null").groupBy("h1", "h2").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("row_key").alias("row_key")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")
-    meets = nodes.select("node", F.explode("bands").alias("bucket"))
+    meets = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(meets.join(shared, "bucket"), "buckets")
     labels = link(docs, nodes, members, text=text, key=key, threshold=threshold, shingle=shingle)
@@ -258,66 +262,72 @@ def link(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, text: str, ke
     sets = materialise(sets, "shingles")
     if sets.select("node").distinct().count() < sets.count():  # rows that repeat key and text
         sets = materialise(sets.dropDuplicates(["node"]), "shingles")
-    few = members.filter(F.col("n") <= DIRECT).select("bucket", "node")
-    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").filter("a > b").select("a", "b").distinct()
-    links = materialise(similarity(pairs, sets).filter(F.col("j") >= threshold).select("a", "b"), "links")
-    large = members.filter(F.col("n") > DIRECT)
-    degree = large.groupBy("node").agg(F.sum("n").alias("degree"))
-    open_ = large.select("bucket", "node").join(degree, "node").withColumn("active", F.lit(True))
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    open_ = members.join(degree, "node").select("bucket", "node", "size", "degree", "n")
+    pairs, links = [], []
     while True:
-        open_ = materialise(open_, "open")
-        if open_.isEmpty():
+        few = open_.filter(F.col("n") <= DIRECT).select("bucket", "node", "size")
+        pairs.append(mates(few, threshold))
+        large = materialise(open_.filter(F.col("n") > DIRECT).drop("n"), "open")
+        if large.isEmpty():
             break
-        more, open_ = cluster_round(open_, sets, threshold)
-        links = links.union(more)
-    return materialise(components(links), "labels")
+        star, more, rest = pivot_round(large, sets, threshold)
+        links.append(star)
+        pairs.append(more)
+        sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        open_ = materialise(rest.join(sizes, "bucket"), "open")
+    asked = reduce(DataFrame.union, pairs).distinct()
+    links.append(similarity(asked, sets).filter(F.col("j") >= threshold).select("a", "b"))
+    return materialise(components(reduce(DataFrame.union, links)), "labels")
 
 
-def cluster_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links, what stays open) after comparing every cluster of open buckets with one pivot.
+def mates(few: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) inside buckets of at most DIRECT members whose sizes allow a link."""
+    a = few.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"))
+    b = few.select("bucket", F.col("node").alias("b"), F.col("size").alias("sb"))
+    return a.join(b, "bucket").filter("a > b").filter(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb")).select("a", "b")
 
-    open_ has bucket, node, degree and active: whether the node is still without
-    a pivot near it.
+
+def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, pairs to verify, what stays open) after comparing large buckets with their pivots.
+
+    A member stays open in a bucket while none of the bucket's pivots is within `far`.
     """
-    far, part = 2 * threshold - 1, (1 - threshold) / (1 + threshold)
-    order = F.struct("active", "degree", "node")
-    head = open_.groupBy("bucket").agg(F.max(order).alias("h")).select("bucket", F.col("h.node").alias("b"))
-    label = components(open_.join(head, "bucket").select(F.col("node").alias("a"), "b"))
-    nodes = open_.groupBy("node").agg(F.max("degree").alias("degree"), F.bool_or("active").alias("active"))
-    placed = materialise(nodes.join(label, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label"), "placed")
-    pivots = placed.groupBy("c").agg(F.max(order).alias("h")).select("c", F.col("h.node").alias("v"))
-    x = sets.select("node", F.col("grams").alias("gx"))
-    v = sets.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
-    both = placed.select("node", "c").join(pivots, "c").join(x, "node").join(v, "v")
+    far, outer, part = 2 * threshold - 1, 3 * threshold - 2, (1 - threshold) / (1 + threshold)
+    place = "row_number() OVER (PARTITION BY bucket ORDER BY degree DESC, node)"
+    heads = open_.withColumn("place", F.expr(place)).filter(F.col("place") <= PIVOTS)
+    heads = materialise(heads.select("bucket", F.col("node").alias("v"), F.col("size").alias("sv")), "heads")
+    heads = small(heads, heads.count(), 48)
+    met = open_.select("bucket", "node", "size", "degree").join(heads, "bucket")
+    asked = met.filter(F.least("size", "sv") >= outer * F.greatest("size", "sv")).select("node", "v").distinct()
+    pivots = materialise(sets.join(heads.select(F.col("v").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("v"), F.col("grams").alias("gv")), "pivots")
+    held = pivots.agg(F.count(F.lit(1)), F.sum(F.size("gv"))).first()
+    pivots = small(pivots, 1, 48 * held[0] + 8 * (held[1] or 0))
+    both = asked.join(sets.select("node", F.col("grams").alias("gx")), "node").join(pivots, "v")
     diff = F.array_union(F.array_except("gx", "gv"), F.array_except("gv", "gx"))
-    seen = both.select("node", "c", "v", F.size("gx").alias("nx"), F.size("gv").alias("nv"), diff.alias("d"))
+    seen = both.select("node", "v", F.size("gx").alias("nx"), F.size("gv").alias("nv"), diff.alias("d"))
     seen = seen.withColumn("j", (F.col("nx") + F.col("nv") - F.size("d")) / (F.col("nx") + F.col("nv") + F.size("d")))
-    seen = materialise(seen.withColumn("d", F.when(F.col("j") >= far, F.col("d"))), "seen")
-    star = seen.filter((F.col("j") >= threshold) & (F.col("node") != F.col("v"))).select(F.col("node").alias("a"), F.col("v").alias("b"))
-    middle = seen.filter((F.col("j") >= far) & (F.col("j") < threshold))
-    near = seen.filter(F.col("j") >= far).join(middle.select("c").distinct(), "c", "left_semi")
-    each = near.select("node", "c", F.explode("d").alias("e"))
-    often = each.groupBy("c", "e").agg(F.count(F.lit(1)).alias("f"))
-    rarest = each.join(often, ["c", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d"))
-    sized = rarest.join(near.select("node", "c", "j", "nx", "nv"), "node")
+    seen = materialise(seen.filter(F.col("j") >= outer), "seen")
+    links = seen.filter((F.col("j") >= threshold) & (F.col("node") != F.col("v"))).select(F.col("node").alias("a"), F.col("v").alias("b"))
+    judged = met.join(seen.select("node", "v", "j"), ["node", "v"]).groupBy("bucket", "node").agg(F.max(F.struct("j", "v")).alias("best")).select("bucket", "node", "best.j", "best.v").filter(F.col("j") >= far)
+    judged = materialise(judged, "judged")
+    rest = open_.join(judged.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", "size", "degree")
+    middle = judged.filter(F.col("j") < threshold).select("node", "v").distinct()
+    near = seen.join(middle.select("v").distinct(), "v", "left_semi")
+    each = near.select("node", "v", F.explode("d").alias("e"))
+    often = each.groupBy("v", "e").agg(F.count(F.lit(1)).alias("f"))
+    rarest = each.join(often, ["v", "e"]).groupBy("node", "v").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d"))
+    sized = rarest.join(near.select("node", "v", "nx", "nv"), ["node", "v"])
     n = F.size("d")
-    # the overlap that any link of an unlinked member with this one needs, and that a link of this unlinked one needs
+    # the overlap that any link of a middle member with this one needs, and that a link of this middle one needs
     probe = n - F.greatest(F.lit(1), F.floor((n + part * (F.col("nv") - F.col("nx"))) / 2)) + 1
     index = n - F.greatest(F.lit(1), F.floor(n - part * (1 + 1 / threshold) * F.col("nx"))) + 1
     prefix = lambda length: F.explode(F.filter(F.slice("d", 1, F.greatest(F.lit(1), length).cast("int")), lambda e: e["f"] > 1))
     sized = materialise(sized, "rarest")
-    asks = sized.select(F.col("node").alias("b"), "c", prefix(probe).alias("e")).select("b", "c", "e.e")
-    has = sized.filter(F.col("j") < threshold).select(F.col("node").alias("a"), "c", prefix(index).alias("e")).select("a", "c", "e.e")
-    pairs = has.join(asks, ["c", "e"]).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    side = lambda k: near.select(F.col("node").alias(k), F.col("d").alias(f"d{k}"), F.col("nx").alias(f"n{k}"))
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    judged = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", apart.alias("x"))
-    found = judged.filter((F.col("na") + F.col("nb") - F.col("x")) / (F.col("na") + F.col("nb") + F.col("x")) >= threshold).select("a", "b")
-    links = materialise(star.union(found), "links")
-    rest = seen.filter(F.col("j") < threshold).select("node", (F.col("j") < far).alias("still"))
-    left = open_.drop("active").join(rest, "node").withColumnRenamed("still", "active")
-    alive = left.groupBy("bucket").agg(F.bool_or("active").alias("any"), F.count(F.lit(1)).alias("n")).filter("any AND n > 1").select("bucket")
-    return links, left.join(alive, "bucket", "left_semi").select("bucket", "node", "degree", "active")
+    asks = sized.select(F.col("node").alias("b"), "v", prefix(probe).alias("e")).select("b", "v", "e.e")
+    has = sized.join(middle, ["node", "v"], "left_semi").select(F.col("node").alias("a"), "v", prefix(index).alias("e")).select("a", "v", "e.e")
+    pairs = has.join(asks, ["v", "e"]).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return links, materialise(pairs, "pairs"), rest
 
 
 def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
