@@ -52,8 +52,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Buckets up to this size are compared pair by pair, larger ones with so many pivots a round.
-DIRECT = 64
-PIVOTS = 8
+DIRECT = 32
+PIVOTS = 3
 #: A key table of so many bytes at most is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
@@ -194,6 +194,11 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def compact(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df in one partition if its counted rows prove it small: then grouping and joining it needs no shuffle."""
+    return df.coalesce(1) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of every component of the edges (a, b).
 
@@ -201,8 +206,9 @@ def components(edges: DataFrame) -> DataFrame:
     ever reduced to a minimum, which Spark does before the shuffle.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    state = None
+    rows, state = now.count(), None
     while True:
+        now = compact(now, rows, 16)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
@@ -213,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        state = seen
+        rows, state = seen[0], seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -269,15 +275,16 @@ def link(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, text: str, ke
         few = open_.filter(F.col("n") <= DIRECT).select("bucket", "node", "size")
         pairs.append(mates(few, threshold))
         large = materialise(open_.filter(F.col("n") > DIRECT).drop("n"), "open")
-        if large.isEmpty():
+        rows = large.count()
+        if not rows:
             break
-        star, more, rest = pivot_round(large, sets, threshold)
+        star, more, rest = pivot_round(compact(large, rows, 48), sets, threshold)
         links.append(star)
         pairs.append(more)
         sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         open_ = materialise(rest.join(sizes, "bucket"), "open")
-    asked = reduce(DataFrame.union, pairs).distinct()
-    links.append(similarity(asked, sets).filter(F.col("j") >= threshold).select("a", "b"))
+    asked = materialise(reduce(DataFrame.union, pairs).distinct(), "pairs")
+    links.append(similarity(small(asked, asked.count(), 24), sets).filter(F.col("j") >= threshold).select("a", "b"))
     return materialise(components(reduce(DataFrame.union, links)), "labels")
 
 
@@ -298,8 +305,11 @@ def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[Da
     heads = open_.withColumn("place", F.expr(place)).filter(F.col("place") <= PIVOTS)
     heads = materialise(heads.select("bucket", F.col("node").alias("v"), F.col("size").alias("sv")), "heads")
     heads = small(heads, heads.count(), 48)
-    met = open_.select("bucket", "node", "size", "degree").join(heads, "bucket")
-    asked = met.filter(F.least("size", "sv") >= outer * F.greatest("size", "sv")).select("node", "v").distinct()
+    met = open_.select("bucket", "node", "size").join(heads, "bucket").filter(F.least("size", "sv") >= outer * F.greatest("size", "sv"))
+    met = materialise(met.select("bucket", "node", "v"), "met")
+    rows = met.count()
+    met = compact(met, rows, 32)
+    asked = small(met.select("node", "v").distinct(), rows, 24)
     pivots = materialise(sets.join(heads.select(F.col("v").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("v"), F.col("grams").alias("gv")), "pivots")
     held = pivots.agg(F.count(F.lit(1)), F.sum(F.size("gv"))).first()
     pivots = small(pivots, 1, 48 * held[0] + 8 * (held[1] or 0))
@@ -309,10 +319,11 @@ def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[Da
     seen = seen.withColumn("j", (F.col("nx") + F.col("nv") - F.size("d")) / (F.col("nx") + F.col("nv") + F.size("d")))
     seen = materialise(seen.filter(F.col("j") >= outer), "seen")
     links = seen.filter((F.col("j") >= threshold) & (F.col("node") != F.col("v"))).select(F.col("node").alias("a"), F.col("v").alias("b"))
-    judged = met.join(seen.select("node", "v", "j"), ["node", "v"]).groupBy("bucket", "node").agg(F.max(F.struct("j", "v")).alias("best")).select("bucket", "node", "best.j", "best.v").filter(F.col("j") >= far)
+    judged = met.join(small(seen.select("node", "v", "j"), rows, 32), ["node", "v"]).groupBy("bucket", "node").agg(F.max(F.struct("j", "v")).alias("best")).select("bucket", "node", "best.j", "best.v").filter(F.col("j") >= far)
     judged = materialise(judged, "judged")
-    rest = open_.join(judged.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", "size", "degree")
-    middle = judged.filter(F.col("j") < threshold).select("node", "v").distinct()
+    rest = open_.join(small(judged.select("bucket", "node"), rows, 24), ["bucket", "node"], "left_anti").select("bucket", "node", "size", "degree")
+    middle = materialise(judged.filter(F.col("j") < threshold).select("node", "v").distinct(), "middle")
+    middle = small(middle, middle.count(), 24)
     near = seen.join(middle.select("v").distinct(), "v", "left_semi")
     each = near.select("node", "v", F.explode("d").alias("e"))
     often = each.groupBy("v", "e").agg(F.count(F.lit(1)).alias("f"))
