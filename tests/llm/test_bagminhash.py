@@ -103,6 +103,7 @@ def test_a_large_family_with_edits_of_their_own(spark, monkeypatch, limits):
     """A base, many copies of it that are not linked to each other, and copies of copies."""
     monkeypatch.setattr(B, "DIRECT", limits[0])
     monkeypatch.setattr(B, "PIVOTS", limits[1])
+    monkeypatch.setattr(B, "LEFT", limits[0])
     rng = np.random.default_rng(11)
     rows = []
     for family in range(2):

@@ -22,8 +22,9 @@ metric, so, with the nearest pivot of its bucket, a member is one of these.
   Of all those the symmetric difference D to the pivot is kept.
   |x ^ y| = |D(x) ^ D(y)|, so a link needs a difference in common that is a known
   part of either. A prefix filter on the rarest part of each difference finds all
-  such pairs; copies of one text with edits of their own share hardly any.
-* Below 0.6 it stays for the next round, or, once at most DIRECT stay, for a
+  such pairs; copies of one text with edits of their own share hardly any, and
+  members that links to pivots made one class are not compared with each other.
+* Below 0.6 it stays for the next round, or, once at most LEFT stay, for a
   comparison pair by pair.
 
 So every link inside a bucket is found, implied by its class, or ruled out. With
@@ -51,9 +52,11 @@ from .common import byte_class, gram_hashes, materialise, mix, slices, table, ut
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Buckets up to this size are compared pair by pair, larger ones with so many pivots a round.
+#: Buckets up to this size are compared pair by pair, larger ones with so many pivots a round;
+#: what is left of those is compared pair by pair up to LEFT.
 DIRECT = 32
 PIVOTS = 3
+LEFT = 128
 #: A key table of so many bytes at most is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
@@ -270,11 +273,11 @@ def link(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, text: str, ke
         sets = materialise(sets.dropDuplicates(["node"]), "shingles")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     open_ = members.join(degree, "node").select("bucket", "node", "size", "degree", "n")
-    pairs, links = [], []
+    pairs, links, most = [], [], DIRECT
     while True:
-        few = open_.filter(F.col("n") <= DIRECT).select("bucket", "node", "size")
+        few = open_.filter(F.col("n") <= most).select("bucket", "node", "size")
         pairs.append(mates(few, threshold))
-        large = materialise(open_.filter(F.col("n") > DIRECT).drop("n"), "open")
+        large = materialise(open_.filter(F.col("n") > most).drop("n"), "open")
         rows = large.count()
         if not rows:
             break
@@ -282,14 +285,14 @@ def link(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, text: str, ke
         links.append(star)
         pairs.append(more)
         sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        open_ = materialise(rest.join(sizes, "bucket"), "open")
+        open_, most = materialise(rest.join(sizes, "bucket"), "open"), LEFT
     asked = materialise(reduce(DataFrame.union, pairs).distinct(), "pairs")
     links.append(similarity(small(asked, asked.count(), 24), sets).filter(F.col("j") >= threshold).select("a", "b"))
     return materialise(components(reduce(DataFrame.union, links)), "labels")
 
 
 def mates(few: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) inside buckets of at most DIRECT members whose sizes allow a link."""
+    """Pairs (a, b) inside buckets of a bounded size whose members' sizes allow a link."""
     a = few.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"))
     b = few.select("bucket", F.col("node").alias("b"), F.col("size").alias("sb"))
     return a.join(b, "bucket").filter("a > b").filter(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb")).select("a", "b")
@@ -319,6 +322,7 @@ def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[Da
     seen = seen.withColumn("j", (F.col("nx") + F.col("nv") - F.size("d")) / (F.col("nx") + F.col("nv") + F.size("d")))
     seen = materialise(seen.filter(F.col("j") >= outer), "seen")
     links = seen.filter((F.col("j") >= threshold) & (F.col("node") != F.col("v"))).select(F.col("node").alias("a"), F.col("v").alias("b"))
+    links = materialise(links, "links")
     judged = met.join(small(seen.select("node", "v", "j"), rows, 32), ["node", "v"]).groupBy("bucket", "node").agg(F.max(F.struct("j", "v")).alias("best")).select("bucket", "node", "best.j", "best.v").filter(F.col("j") >= far)
     judged = materialise(judged, "judged")
     rest = open_.join(small(judged.select("bucket", "node"), rows, 24), ["bucket", "node"], "left_anti").select("bucket", "node", "size", "degree")
@@ -334,10 +338,16 @@ def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[Da
     probe = n - F.greatest(F.lit(1), F.floor((n + part * (F.col("nv") - F.col("nx"))) / 2)) + 1
     index = n - F.greatest(F.lit(1), F.floor(n - part * (1 + 1 / threshold) * F.col("nx"))) + 1
     prefix = lambda length: F.explode(F.filter(F.slice("d", 1, F.greatest(F.lit(1), length).cast("int")), lambda e: e["f"] > 1))
-    sized = materialise(sized, "rarest")
-    asks = sized.select(F.col("node").alias("b"), "v", prefix(probe).alias("e")).select("b", "v", "e.e")
-    has = sized.join(middle, ["node", "v"], "left_semi").select(F.col("node").alias("a"), "v", prefix(index).alias("e")).select("a", "v", "e.e")
-    pairs = has.join(asks, ["v", "e"]).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # members that star links already tie to the pivot need no comparison with each other
+    label = components(links)
+    label = small(label, label.count(), 24)
+    tied = sized.join(label.withColumnRenamed("label", "l"), "node", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
+    tied = tied.withColumn("own", F.coalesce("l", "node") == F.coalesce("lv", "v"))
+    sized = materialise(tied.drop("l", "lv"), "rarest")
+    with_ = F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    asks = sized.select(F.col("node").alias("b"), "v", "own", prefix(probe).alias("e")).select("b", "v", "e.e", with_.alias("k"))
+    has = sized.join(middle, ["node", "v"], "left_semi").select(F.col("node").alias("a"), "v", F.col("own").cast("int").alias("k"), prefix(index).alias("e")).select("a", "v", "e.e", "k")
+    pairs = has.join(asks, ["v", "e", "k"]).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return links, materialise(pairs, "pairs"), rest
 
 
