@@ -56,7 +56,7 @@ BANDS, ROWS = 25, 5
 #: what is left of those is compared pair by pair up to LEFT.
 DIRECT = 32
 PIVOTS = 3
-LEFT = 128
+LEFT = 256
 #: A key table of so many bytes at most is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
