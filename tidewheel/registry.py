@@ -9,6 +9,7 @@ MODULES: tuple[str, ...] = (
     "operators.features",
     "plans.scores",
     "plans.labels",
+    "plans.backtest",
 )
 
 
