@@ -10,6 +10,7 @@ MODULES: tuple[str, ...] = (
     "plans.scores",
     "plans.labels",
     "plans.backtest",
+    "plans.intraday",
 )
 
 
