@@ -11,6 +11,7 @@ MODULES: tuple[str, ...] = (
     "plans.labels",
     "plans.backtest",
     "plans.intraday",
+    "plans.screener",
 )
 
 
