@@ -190,7 +190,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
                     c[TABLE + script_of(w)] += n
         for g, c in counts.items():
             some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([g] * len(some)), pa.array(some), pa.array(c[some])], ["l", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(some), pa.string()), pa.array(some), pa.array(c[some])], ["l", "b", "n"])
 
     rows = sample.mapInArrow(run, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((len(langs), TABLE + OTHER + 1))
