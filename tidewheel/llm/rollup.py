@@ -35,12 +35,12 @@ def count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
-def counted(docs: DataFrame, *, text: Column | str = "text", versions: dict[str, str] | None = None) -> DataFrame:
-    """(source, lang, version, n_tokens) of every row and version."""
+def counted(docs: DataFrame, *, text: Column | str = "text", versions: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(source, lang, version, n_tokens) of every row and version, with the kept columns."""
     versions = versions or VERSIONS
     column = F.col(text) if isinstance(text, str) else text
     each = F.array(*(F.struct(F.lit(v).alias("version"), count(column, p).alias("n_tokens")) for v, p in versions.items()))
-    return docs.select("source", "lang", F.explode(each).alias("c")).select("source", "lang", "c.version", "c.n_tokens")
+    return docs.select("source", "lang", *keep, F.explode(each).alias("c")).select("source", "lang", "c.version", "c.n_tokens", *keep)
 
 
 def delta(changes: DataFrame) -> DataFrame:
@@ -142,7 +142,9 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     revision = delta(revisions(counted(revised), counted(revised, text=clean)))
     store.commit("0002-revise", revision)
     now = F.when(F.size(F.array_distinct(lines)) < F.size(lines), clean).otherwise(F.col("text"))
-    store.commit("0003-delete", delta(deletes(counted(docs.join(labels, "doc_id", "left_semi"), text=now))))
+    # counts meet the labels, not texts: an inner join with distinct keys, as a semi join would move below the counting
+    gone = counted(docs, text=now, keep=("doc_id",)).join(labels, "doc_id").drop("doc_id")
+    store.commit("0003-delete", delta(deletes(gone)))
     store.commit("0002-revise", revision)
     return store.totals()
 
