@@ -121,3 +121,38 @@ def test_a_large_family_with_edits_of_their_own(spark, monkeypatch, limits):
     want = brute(rows)
     assert len(set(want.values())) > 3
     assert {r.doc_id: r.class_id for r in B.classes(df).collect()} == want
+
+
+def one_round(spark, buckets, pivots, monkeypatch):
+    """(all links found, node pairs that are links) of a round; buckets are lists of sets, the first are the pivots."""
+    monkeypatch.setattr(B, "PIVOTS", pivots)
+    flat = [(k, i, s) for k, bucket in enumerate(buckets) for i, s in enumerate(bucket)]
+    sets = spark.createDataFrame([(n, sorted(s)) for n, (_, _, s) in enumerate(flat)], "node long, grams array<long>")
+    open_ = spark.createDataFrame([(k, n, len(s), 1000 - i) for n, (k, i, s) in enumerate(flat)], "bucket long, node long, size long, degree long")
+    links, pairs, rest = B.pivot_round(open_, sets, 0.8)
+    near = lambda a, b: len(flat[a][2] & flat[b][2]) / len(flat[a][2] | flat[b][2]) >= 0.8
+    left = {r.node for r in rest.collect()}
+    true = {(a, b) for a in range(len(flat)) for b in range(a) if flat[a][0] == flat[b][0] and near(a, b)}
+    found = {(max(r), min(r)) for r in links.collect()} | {(r.a, r.b) for r in pairs.collect() if near(r.a, r.b)}
+    return found | {(a, b) for a, b in true if a in left and b in left}, true
+
+
+def parts(n, edges):
+    at = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            at[a] = at[b] = min(at[a], at[b])
+    return at
+
+
+def test_links_between_members_of_two_pivots(spark, monkeypatch):
+    """v, v2, x at 0.84 from v, y at 0.84 from v2 and from x; then random chains."""
+    window = lambda at: set(range(at, at + 90))
+    rng = np.random.default_rng(5)
+    buckets = [[window(0), window(24), window(8), window(16)]]
+    buckets += [[window(int(at)) for at in rng.integers(0, 50, 6)] for _ in range(40)]
+    buckets = [[{1000 * k + e for e in s} for s in bucket] for k, bucket in enumerate(buckets)]
+    found, true = one_round(spark, buckets, 2, monkeypatch)
+    n = sum(map(len, buckets))
+    assert (3, 2) in found
+    assert parts(n, found) == parts(n, true)

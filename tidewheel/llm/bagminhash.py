@@ -17,7 +17,9 @@ members with PIVOTS of them, those with most bucket mates. 1 - similarity is a
 metric, so, with the nearest pivot of its bucket, a member is one of these.
 
 * At 0.8 or more it is linked with the pivot and leaves the bucket: whatever else
-  it could be linked with there is at 0.6 or more from the pivot.
+  it could be linked with there is at 0.6 or more from the pivot, so it is found
+  from the other side if those at 0.6 to 0.8 from any pivot, and not of its class
+  yet, are compared as follows.
 * From 0.6 to 0.8 it leaves too: all its links are at 0.4 or more from the pivot.
   Of all those the symmetric difference D to the pivot is kept.
   |x ^ y| = |D(x) ^ D(y)|, so a link needs a difference in common that is a known
@@ -326,7 +328,14 @@ def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[Da
     judged = met.join(small(seen.select("node", "v", "j"), rows, 32), ["node", "v"]).groupBy("bucket", "node").agg(F.max(F.struct("j", "v")).alias("best")).select("bucket", "node", "best.j", "best.v").filter(F.col("j") >= far)
     judged = materialise(judged, "judged")
     rest = open_.join(small(judged.select("bucket", "node"), rows, 24), ["bucket", "node"], "left_anti").select("bucket", "node", "size", "degree")
-    middle = materialise(judged.filter(F.col("j") < threshold).select("node", "v").distinct(), "middle")
+    # members that star links already tie to the pivot need no comparison with each other
+    label = components(links)
+    label = small(label, label.count(), 24)
+    tie = lambda df: df.join(label.withColumnRenamed("label", "l"), "node", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left").withColumn("own", F.coalesce("l", "node") == F.coalesce("lv", "v")).drop("l", "lv")
+    # a member linked with one pivot may still link with the class of another, so all that are no part of it are indexed
+    across = tie(seen.select("node", "v", "j").filter((F.col("j") >= far) & (F.col("j") < threshold))).filter("not own")
+    middle = judged.filter(F.col("j") < threshold).select("node", "v").union(across.select("node", "v"))
+    middle = materialise(middle.distinct(), "middle")
     middle = small(middle, middle.count(), 24)
     near = seen.join(middle.select("v").distinct(), "v", "left_semi")
     each = near.select("node", "v", F.explode("d").alias("e"))
@@ -338,12 +347,7 @@ def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[Da
     probe = n - F.greatest(F.lit(1), F.floor((n + part * (F.col("nv") - F.col("nx"))) / 2)) + 1
     index = n - F.greatest(F.lit(1), F.floor(n - part * (1 + 1 / threshold) * F.col("nx"))) + 1
     prefix = lambda length: F.explode(F.filter(F.slice("d", 1, F.greatest(F.lit(1), length).cast("int")), lambda e: e["f"] > 1))
-    # members that star links already tie to the pivot need no comparison with each other
-    label = components(links)
-    label = small(label, label.count(), 24)
-    tied = sized.join(label.withColumnRenamed("label", "l"), "node", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
-    tied = tied.withColumn("own", F.coalesce("l", "node") == F.coalesce("lv", "v"))
-    sized = materialise(tied.drop("l", "lv"), "rarest")
+    sized = materialise(tie(sized), "rarest")
     with_ = F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
     asks = sized.select(F.col("node").alias("b"), "v", "own", prefix(probe).alias("e")).select("b", "v", "e.e", with_.alias("k"))
     has = sized.join(middle, ["node", "v"], "left_semi").select(F.col("node").alias("a"), "v", F.col("own").cast("int").alias("k"), prefix(index).alias("e")).select("a", "v", "e.e", "k")
