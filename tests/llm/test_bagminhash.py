@@ -156,3 +156,9 @@ def test_links_between_members_of_two_pivots(spark, monkeypatch):
     n = sum(map(len, buckets))
     assert (3, 2) in found
     assert parts(n, found) == parts(n, true)
+
+
+def test_a_member_at_exactly_the_far_bound(spark, monkeypatch):
+    """x is at 0.6 from the pivot, y at 0.8 from both."""
+    found, true = one_round(spark, [[set(range(8)), set(range(2, 10)), set(range(10))]], 1, monkeypatch)
+    assert found == true == {(2, 0), (2, 1)}

@@ -59,6 +59,7 @@ BANDS, ROWS = 25, 5
 DIRECT = 32
 PIVOTS = 3
 LEFT = 256
+SLACK = 1e-9
 #: A key table of so many bytes at most is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
@@ -305,7 +306,8 @@ def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[Da
 
     A member stays open in a bucket while none of the bucket's pivots is within `far`.
     """
-    far, outer, part = 2 * threshold - 1, 3 * threshold - 2, (1 - threshold) / (1 + threshold)
+    # both bounds a little lower: rounded up they would lose members at exactly 0.6 or 0.4
+    far, outer, part = 2 * threshold - 1 - SLACK, 3 * threshold - 2 - SLACK, (1 - threshold) / (1 + threshold)
     place = "row_number() OVER (PARTITION BY bucket ORDER BY degree DESC, node)"
     heads = open_.withColumn("place", F.expr(place)).filter(F.col("place") <= PIVOTS)
     heads = materialise(heads.select("bucket", F.col("node").alias("v"), F.col("size").alias("sv")), "heads")
