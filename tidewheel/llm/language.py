@@ -7,8 +7,9 @@ for each switch of language, labels the text; runs of one label are its spans.
 
 A text whose best single language cannot be beaten by any switch needs no table:
 if for every other language the largest sum of score differences over any
-stretch of words is no more than the penalty, the constant path is optimal. Only
-mixed texts go through Viterbi.
+stretch of words is less than half the penalty, the constant path is optimal (k
+such stretches side by side still pay k - 1 penalties). Only mixed texts go
+through Viterbi.
 
 Training counts trigrams, hashed into TABLE buckets for each language, over a
 bounded sample of the labelled rows: those with the least hash of key, about
@@ -159,7 +160,7 @@ def label(s: np.ndarray, penalty: float) -> np.ndarray:
     best = int(np.argmax(total))
     gain = np.zeros((len(s) + 1, s.shape[1]))
     np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    if 2 * (gain - np.minimum.accumulate(gain, axis=0)).max() < penalty:
         return np.full(len(s), best, np.int64)
     return viterbi(s, penalty)
 
