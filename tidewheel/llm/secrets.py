@@ -37,16 +37,23 @@ ASSIGN_WORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 #: kind, a literal that every match contains, pattern, the group that holds the value
 ADDED = (
     ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"), 0),
-    ("provider", "_", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]_[A-Za-z0-9]{10,}|sk_live_[A-Za-z0-9]{16,})"), 0),
+    ("provider", "_", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,})"), 0),
+    ("provider", "xox", re.compile(r"\bxox[abprs][-_][A-Za-z0-9-]{10,}"), 0),
     ("web_token", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0),
     ("url", "://", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,128})@"), 1),
 )
 KIND_ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *(x[0] for x in ADDED)))}
-PLACEHOLDER = re.compile(r"example|sample|changeme|your|dummy|test|placeholder|xxxx|\*\*\*\*|1234567|(.)\1{5}", re.I)
+#: Words count only between non-letters: "latest" and "Contest" are no placeholders.
+PLACEHOLDER = re.compile(r"(?<![a-z])(?:example|sample|changeme|your|dummy|test|placeholder|\d?1234567\d*)(?![a-z])|xxxx|\*\*\*\*|(.)\1{5}", re.I)
 
 SPAN = "struct<kind:string,kind_order:int,begin:int,end:int,value_hash:string,entropy:double,placeholder:boolean>"
 
 
+def placeholder(kind: str, value: str) -> bool:
+    """Whether a value reads as an example; whole key blocks contain any short word by chance."""
+    return kind != "private_key" and bool(PLACEHOLDER.search(value))
+
+
 def entropy(value: str) -> float:
     """Bits a character of the value's own letter frequencies."""
     n = len(value)
@@ -77,7 +84,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         for batch in slices(batches, "__text"):
             rows = [
                 [
-                    {"kind": k, "kind_order": KIND_ORDER[k], "begin": a, "end": b, "value_hash": hashlib.sha256(v.encode()).hexdigest()[:32], "entropy": entropy(v), "placeholder": bool(PLACEHOLDER.search(v))}
+                    {"kind": k, "kind_order": KIND_ORDER[k], "begin": a, "end": b, "value_hash": hashlib.sha256(v.encode()).hexdigest()[:32], "entropy": entropy(v), "placeholder": placeholder(k, v)}
                     for k, a, b, v in find(t or "")
                 ]
                 for t in batch.column(len(keep)).to_pylist()
