@@ -103,3 +103,15 @@ def test_long_text(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = K.score(df, K.train(df)).first()
     assert got.n_tokens == 400_001 and got.score > got.base_score
+
+
+def test_the_query_uses_two_words_of_context(spark, tmp_path):
+    """x is followed by z after a and by w after b: only an order above 2 tells them apart."""
+    rows = [(k, "a x z" if k % 2 else "b x w", 0.0) for k in range(400)]
+    probes = [(k, t, 0.0) for j, t in enumerate(("a x z", "a x w")) for k in range(1000 + 500 * j, 1030 + 500 * j)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    held = [r.doc_id for r in spark.createDataFrame(probes, SCHEMA).filter(K.held_out()).collect()]
+    spark.createDataFrame([p for p in probes if p[0] in held], SCHEMA).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.perplexity for r in K.op4_kneser_ney(spark, str(tmp_path)).collect()}
+    seen, unseen = (min(got[d] for d in held if (d < 1500) == first) for first in (True, False))
+    assert seen < 0.7 * unseen

@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import byte_class, file_system, materialise, mix, new_path, slices, table, utf8, words
 
 ORDER = 2
+#: Order of the query's model.
+QUERY_ORDER = 3
 #: N-grams that a task counts before it sends them on.
 FLUSH = 3_000_000
 _SPACE = byte_class("space")
@@ -444,7 +446,7 @@ def held_out(key: str = "doc_id"):
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs.filter(~held_out()))
+    model = train(docs.filter(~held_out()), order=QUERY_ORDER)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
