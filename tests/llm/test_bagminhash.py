@@ -98,12 +98,11 @@ def test_signatures_estimate_weighted_similarity(repeat):
     assert abs((s[0] == s[1]).mean() - jaccard(multiset(a), multiset(b))) < 0.04
 
 
-@pytest.mark.parametrize("limits", [(64, 8), (3, 1), (6, 2)])
+@pytest.mark.parametrize("limits", [(64, 64), (3, 3), (6, 2), (2, 2)])
 def test_a_large_family_with_edits_of_their_own(spark, monkeypatch, limits):
     """A base, many copies of it that are not linked to each other, and copies of copies."""
     monkeypatch.setattr(B, "DIRECT", limits[0])
-    monkeypatch.setattr(B, "PIVOTS", limits[1])
-    monkeypatch.setattr(B, "LEFT", limits[0])
+    monkeypatch.setattr(B, "LEFT", limits[1])
     rng = np.random.default_rng(11)
     rows = []
     for family in range(2):
@@ -123,13 +122,13 @@ def test_a_large_family_with_edits_of_their_own(spark, monkeypatch, limits):
     assert {r.doc_id: r.class_id for r in B.classes(df).collect()} == want
 
 
-def one_round(spark, buckets, pivots, monkeypatch):
-    """(all links found, node pairs that are links) of a round; buckets are lists of sets, the first are the pivots."""
-    monkeypatch.setattr(B, "PIVOTS", pivots)
+def one_round(spark, buckets, of_class, labels=None):
+    """(all links found, node pairs that are links) of a round; buckets are lists of sets, the first are the centres."""
     flat = [(k, i, s) for k, bucket in enumerate(buckets) for i, s in enumerate(bucket)]
+    label = list(range(len(flat))) if labels is None else labels
     sets = spark.createDataFrame([(n, sorted(s)) for n, (_, _, s) in enumerate(flat)], "node long, grams array<long>")
-    open_ = spark.createDataFrame([(k, n, len(s), 1000 - i) for n, (k, i, s) in enumerate(flat)], "bucket long, node long, size long, degree long")
-    links, pairs, rest = B.pivot_round(open_, sets, 0.8)
+    open_ = spark.createDataFrame([(k, n, len(s), 1000 - i, label[n]) for n, (k, i, s) in enumerate(flat)], "bucket long, node long, size long, degree long, label long")
+    links, pairs, rest = B.centre_round(open_, sets, 0.8, of_class=of_class)
     near = lambda a, b: len(flat[a][2] & flat[b][2]) / len(flat[a][2] | flat[b][2]) >= 0.8
     left = {r.node for r in rest.collect()}
     true = {(a, b) for a in range(len(flat)) for b in range(a) if flat[a][0] == flat[b][0] and near(a, b)}
@@ -145,20 +144,23 @@ def parts(n, edges):
     return at
 
 
-def test_links_between_members_of_two_pivots(spark, monkeypatch):
-    """v, v2, x at 0.84 from v, y at 0.84 from v2 and from x; then random chains."""
+@pytest.mark.parametrize("of_class", [False, True])
+def test_links_between_members_below_the_centre(spark, of_class):
+    """v, v2, x at 0.84 from v, y at 0.84 from v2 and from x; then random chains, some of them classes already."""
     window = lambda at: set(range(at, at + 90))
     rng = np.random.default_rng(5)
     buckets = [[window(0), window(24), window(8), window(16)]]
     buckets += [[window(int(at)) for at in rng.integers(0, 50, 6)] for _ in range(40)]
     buckets = [[{1000 * k + e for e in s} for s in bucket] for k, bucket in enumerate(buckets)]
-    found, true = one_round(spark, buckets, 2, monkeypatch)
     n = sum(map(len, buckets))
-    assert (3, 2) in found
-    assert parts(n, found) == parts(n, true)
+    for known in (False, True):
+        _, true = one_round(spark, buckets, of_class)
+        given = [e for k, e in enumerate(sorted(true)) if k % 2] if known else []
+        found, true = one_round(spark, buckets, of_class, parts(n, given))
+        assert parts(n, found | set(given)) == parts(n, true)
 
 
-def test_a_member_at_exactly_the_far_bound(spark, monkeypatch):
-    """x is at 0.6 from the pivot, y at 0.8 from both."""
-    found, true = one_round(spark, [[set(range(8)), set(range(2, 10)), set(range(10))]], 1, monkeypatch)
-    assert found == true == {(2, 0), (2, 1)}
+def test_a_member_at_exactly_the_far_bound(spark):
+    """x is at 0.6 from the centre, y at 0.8 from both."""
+    found, true = one_round(spark, [[set(range(8)), set(range(2, 10)), set(range(10))]], False)
+    assert parts(3, found) == parts(3, true) and len(true) == 2

@@ -10,24 +10,29 @@ that fills all registers are never made, so the work is a few points for each
 register, not for each shingle and register.
 
 Signatures are cut into bands. Equal texts become one node first. Documents that
-agree in a band meet in a bucket. Buckets of at most DIRECT nodes are compared
-pair by pair, a constant number for each; sizes that rule a link out spare the
-comparison. Of larger buckets no pairs are listed. Each round compares their
-members with PIVOTS of them, those with most bucket mates. 1 - similarity is a
-metric, so, with the nearest pivot of its bucket, a member is one of these.
-
-* At 0.8 or more it is linked with the pivot and leaves the bucket: whatever else
-  it could be linked with there is at 0.6 or more from the pivot, so it is found
-  from the other side if those at 0.6 to 0.8 from any pivot, and not of its class
-  yet, are compared as follows.
-* From 0.6 to 0.8 it leaves too: all its links are at 0.4 or more from the pivot.
-  Of all those the symmetric difference D to the pivot is kept.
-  |x ^ y| = |D(x) ^ D(y)|, so a link needs a difference in common that is a known
-  part of either. A prefix filter on the rarest part of each difference finds all
-  such pairs; copies of one text with edits of their own share hardly any, and
-  members that links to pivots made one class are not compared with each other.
-* Below 0.6 it stays for the next round, or, once at most LEFT stay, for a
-  comparison pair by pair.
+agree in a band meet in a bucket. Buckets are worked on by class, and no bucket's
+pairs are listed beyond a bound:
+
+* Star. Every bucket's best-connected member is compared with its others. Links
+  make classes; a bucket whose members are all of one class is done, whatever its
+  size, since only classes matter. The compared member leaves.
+* What is left of buckets up to DIRECT members is compared pair by pair, members
+  of one class never. Sizes that rule a link out spare the comparison.
+* Of larger ones, members are compared with a centre v: in odd rounds the
+  best-connected node of the class that most of the bucket is of (one centre for
+  all buckets of that class, in the bucket or not), in even rounds a member, so
+  that every bucket shrinks. 1 - similarity is a metric: whatever a member at 0.6
+  or more from v links with is at 0.4 or more from v, so members at 0.6 or more
+  leave, if all links between members at 0.4 or more are found. Of those members
+  the symmetric difference D to v is kept. |x ^ y| = |D(x) ^ D(y)|, so a link
+  needs a known part of both differences in common. Of a link between two classes
+  one end is not of v's class, hence below 0.8 from v: only such ends are indexed,
+  by the prefix of D that a link must touch, and all others ask with the short
+  prefix that their own D leaves them. Sizes and places in D rule out most of what
+  meets. Any fixed order of D is right; common differences come last, so that few
+  meet by chance.
+* Members below 0.6 stay for the next round, or, once at most LEFT stay, for a
+  comparison pair by pair. DIRECT and LEFT change the work, not the result.
 
 So every link inside a bucket is found, implied by its class, or ruled out. With
 25 bands of 5, a pair at exactly 0.8 meets in no band with a probability of 5e-5.
@@ -49,16 +54,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_class, gram_hashes, materialise, mix, slices, table, utf8, words
+from .common import byte_class, gram_hashes, materialise, mix, slices, spare, table, thrifty, utf8, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Buckets up to this size are compared pair by pair, larger ones with so many pivots a round;
-#: what is left of those is compared pair by pair up to LEFT.
+#: What the star leaves of a bucket is compared pair by pair up to this size, and what a centre leaves up to LEFT.
 DIRECT = 32
-PIVOTS = 3
 LEFT = 256
+#: Differences of a centre that are known as common: they come last in prefixes.
+COMMON = 2048
 SLACK = 1e-9
 #: A key table of so many bytes at most is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 4 << 20
@@ -166,11 +171,16 @@ def sign(docs: DataFrame, *, text: str, key: str, bands: int, rows: int, shingle
             h1, h2 = _node(w, first)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h1), pa.array(h2), pa.array(np.diff(start)), lists], [key, "row_key", "h1", "h2", "size", "bands"])
 
-    return docs.select(F.col(key), row_key(key, text).alias("row_key"), F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, row_key long, h1 long, h2 long, size long, bands array<long>")
+    return docs.select(F.col(key), row_key(key, text).alias("row_key"), F.col(text).alias("__text")).mapInArrow(thrifty(run), f"`{key}` {kind}, row_key {ROW_KEY}, h1 long, h2 long, size long, bands array<long>")
+
+
+ROW_KEY = "struct<a:bigint,b:bigint>"
 
 
 def row_key(key: str, text: str):
-    return F.xxhash64(F.col(key).cast("string"), F.col(text))
+    """128 bits of key and text; null is not empty."""
+    parts = [x for c in (F.col(key).cast("string"), F.col(text)) for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
 def shingle_sets(docs: DataFrame, *, text: str, shingle: int) -> DataFrame:
@@ -192,7 +202,7 @@ def shingle_sets(docs: DataFrame, *, text: str, shingle: int) -> DataFrame:
             h1, h2 = _node(w, first)
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(grams))], ["h1", "h2", "grams"])
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "h1 long, h2 long, grams array<long>")
+    return docs.select(F.col(text).alias("__text")).mapInArrow(thrifty(run), "h1 long, h2 long, grams array<long>")
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -269,104 +279,117 @@ def link(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, text: str, ke
     n = candidates.count()
     if not n:
         return None
-    read = docs.withColumn("__row_key", row_key(key, text)).join(small(candidates.select(F.col("row_key").alias("__row_key")), n, 40), "__row_key", "left_semi")
+    name = spare(docs, "__row_key")
+    read = docs.withColumn(name, row_key(key, text)).join(small(candidates.select(F.col("row_key").alias(name)), n, 48), name, "left_semi")
     sets = shingle_sets(read, text=text, shingle=shingle).join(small(candidates.select("h1", "h2", "node"), n, 64), ["h1", "h2"]).select("node", "grams")
     sets = materialise(sets, "shingles")
     if sets.select("node").distinct().count() < sets.count():  # rows that repeat key and text
         sets = materialise(sets.dropDuplicates(["node"]), "shingles")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    open_ = members.join(degree, "node").select("bucket", "node", "size", "degree", "n")
-    pairs, links, most = [], [], DIRECT
+    open_ = materialise(members.join(degree, "node").select("bucket", "node", "size", "degree"), "open")
+    rows = open_.count()
+    open_ = compact(open_, rows, 40)
+    best = open_.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("v"), F.col("size").alias("sv")), F.struct("degree", "node")).alias("p")).select("bucket", "p.v", "p.sv")
+    met = open_.join(best, "bucket").filter("node <> v")
+    star = compare(met.filter(F.least("size", "sv") >= threshold * F.greatest("size", "sv")).select("node", "v").distinct(), sets, threshold).filter(F.col("j") >= threshold)
+    links = [materialise(star.select(F.col("node").alias("a"), F.col("v").alias("b")), "links")]
+    open_, pairs, most, turn = met.select("bucket", "node", "size", "degree"), [], DIRECT, 0
     while True:
-        few = open_.filter(F.col("n") <= most).select("bucket", "node", "size")
-        pairs.append(mates(few, threshold))
-        large = materialise(open_.filter(F.col("n") > most).drop("n"), "open")
+        labels = components(reduce(DataFrame.union, links))
+        open_ = by_class(open_, small(labels, labels.count(), 24))
+        pairs.append(mates(open_.filter(F.col("n") <= most), threshold))
+        large = open_.filter(F.col("n") > most).drop("n")
         rows = large.count()
         if not rows:
             break
-        star, more, rest = pivot_round(compact(large, rows, 48), sets, threshold)
-        links.append(star)
-        pairs.append(more)
-        sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        open_, most = materialise(rest.join(sizes, "bucket"), "open"), LEFT
+        more, asked, open_ = centre_round(compact(large, rows, 56), sets, threshold, of_class=turn % 2 == 0)
+        links.append(more)
+        pairs.append(asked)
+        most, turn = LEFT, turn + 1
     asked = materialise(reduce(DataFrame.union, pairs).distinct(), "pairs")
     links.append(similarity(small(asked, asked.count(), 24), sets).filter(F.col("j") >= threshold).select("a", "b"))
     return materialise(components(reduce(DataFrame.union, links)), "labels")
 
 
-def mates(few: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) inside buckets of a bounded size whose members' sizes allow a link."""
-    a = few.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"))
-    b = few.select("bucket", F.col("node").alias("b"), F.col("size").alias("sb"))
-    return a.join(b, "bucket").filter("a > b").filter(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb")).select("a", "b")
+def by_class(open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, size, degree, label, n) of the buckets whose members are of two classes at least."""
+    named = open_.select("bucket", "node", "size", "degree").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket", "n")
+    return materialise(named.join(mixed, "bucket").select("bucket", "node", "size", "degree", "label", "n"), "open")
 
 
-def pivot_round(open_: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, pairs to verify, what stays open) after comparing large buckets with their pivots.
+def mates(few: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of two classes inside buckets of a bounded size whose members' sizes allow a link."""
+    a = few.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
+    b = few.select("bucket", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
+    return a.join(b, "bucket").filter("a > b AND la <> lb").filter(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb")).select("a", "b").distinct()
+
+
+def compare(asked: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """asked (node, v, ...) with nx, nv, d (the symmetric difference) and j, if j is `least` or more; few v are many nodes' partners."""
+    asked = materialise(asked, "asked")
+    asked = small(asked, asked.count(), 56)
+    heads = materialise(sets.join(asked.select(F.col("v").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("v"), F.col("grams").alias("gv")), "heads")
+    held = heads.agg(F.count(F.lit(1)), F.sum(F.size("gv"))).first()
+    heads = small(heads, 1, 48 * held[0] + 8 * (held[1] or 0))
+    both = asked.join(sets.select("node", F.col("grams").alias("gx")), "node").join(heads, "v")
+    diff = F.array_union(F.array_except("gx", "gv"), F.array_except("gv", "gx"))
+    seen = both.select(*asked.columns, F.size("gx").alias("nx"), F.size("gv").alias("nv"), diff.alias("d"))
+    seen = seen.withColumn("j", (F.col("nx") + F.col("nv") - F.size("d")) / (F.col("nx") + F.col("nv") + F.size("d")))
+    return seen.filter(F.col("j") >= least)
+
 
-    A member stays open in a bucket while none of the bucket's pivots is within `far`.
-    """
+def centre_round(open_: DataFrame, sets: DataFrame, threshold: float, *, of_class: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, pairs to verify, what stays open) after comparing large buckets (bucket, node, size, degree, label) with a centre each."""
     # both bounds a little lower: rounded up they would lose members at exactly 0.6 or 0.4
     far, outer, part = 2 * threshold - 1 - SLACK, 3 * threshold - 2 - SLACK, (1 - threshold) / (1 + threshold)
-    place = "row_number() OVER (PARTITION BY bucket ORDER BY degree DESC, node)"
-    heads = open_.withColumn("place", F.expr(place)).filter(F.col("place") <= PIVOTS)
-    heads = materialise(heads.select("bucket", F.col("node").alias("v"), F.col("size").alias("sv")), "heads")
-    heads = small(heads, heads.count(), 48)
-    met = open_.select("bucket", "node", "size").join(heads, "bucket").filter(F.least("size", "sv") >= outer * F.greatest("size", "sv"))
-    met = materialise(met.select("bucket", "node", "v"), "met")
-    rows = met.count()
-    met = compact(met, rows, 32)
-    asked = small(met.select("node", "v").distinct(), rows, 24)
-    pivots = materialise(sets.join(heads.select(F.col("v").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("v"), F.col("grams").alias("gv")), "pivots")
-    held = pivots.agg(F.count(F.lit(1)), F.sum(F.size("gv"))).first()
-    pivots = small(pivots, 1, 48 * held[0] + 8 * (held[1] or 0))
-    both = asked.join(sets.select("node", F.col("grams").alias("gx")), "node").join(pivots, "v")
-    diff = F.array_union(F.array_except("gx", "gv"), F.array_except("gv", "gx"))
-    seen = both.select("node", "v", F.size("gx").alias("nx"), F.size("gv").alias("nv"), diff.alias("d"))
-    seen = seen.withColumn("j", (F.col("nx") + F.col("nv") - F.size("d")) / (F.col("nx") + F.col("nv") + F.size("d")))
-    seen = materialise(seen.filter(F.col("j") >= outer), "seen")
-    links = seen.filter((F.col("j") >= threshold) & (F.col("node") != F.col("v"))).select(F.col("node").alias("a"), F.col("v").alias("b"))
-    links = materialise(links, "links")
-    judged = met.join(small(seen.select("node", "v", "j"), rows, 32), ["node", "v"]).groupBy("bucket", "node").agg(F.max(F.struct("j", "v")).alias("best")).select("bucket", "node", "best.j", "best.v").filter(F.col("j") >= far)
-    judged = materialise(judged, "judged")
-    rest = open_.join(small(judged.select("bucket", "node"), rows, 24), ["bucket", "node"], "left_anti").select("bucket", "node", "size", "degree")
-    # members that star links already tie to the pivot need no comparison with each other
-    label = components(links)
-    label = small(label, label.count(), 24)
-    tie = lambda df: df.join(label.withColumnRenamed("label", "l"), "node", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left").withColumn("own", F.coalesce("l", "node") == F.coalesce("lv", "v")).drop("l", "lv")
-    # a member linked with one pivot may still link with the class of another, so all that are no part of it are indexed
-    across = tie(seen.select("node", "v", "j").filter((F.col("j") >= far) & (F.col("j") < threshold))).filter("not own")
-    middle = judged.filter(F.col("j") < threshold).select("node", "v").union(across.select("node", "v"))
-    middle = materialise(middle.distinct(), "middle")
-    middle = small(middle, middle.count(), 24)
-    near = seen.join(middle.select("v").distinct(), "v", "left_semi")
-    each = near.select("node", "v", F.explode("d").alias("e"))
-    often = each.groupBy("v", "e").agg(F.count(F.lit(1)).alias("f"))
-    rarest = each.join(often, ["v", "e"]).groupBy("node", "v").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d"))
-    sized = rarest.join(near.select("node", "v", "nx", "nv"), ["node", "v"])
-    n = F.size("d")
-    # the overlap that any link of a middle member with this one needs, and that a link of this middle one needs
-    probe = n - F.greatest(F.lit(1), F.floor((n + part * (F.col("nv") - F.col("nx"))) / 2)) + 1
-    index = n - F.greatest(F.lit(1), F.floor(n - part * (1 + 1 / threshold) * F.col("nx"))) + 1
-    prefix = lambda length: F.explode(F.filter(F.slice("d", 1, F.greatest(F.lit(1), length).cast("int")), lambda e: e["f"] > 1))
-    sized = materialise(tie(sized), "rarest")
-    with_ = F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
-    asks = sized.select(F.col("node").alias("b"), "v", "own", prefix(probe).alias("e")).select("b", "v", "e.e", with_.alias("k"))
-    has = sized.join(middle, ["node", "v"], "left_semi").select(F.col("node").alias("a"), "v", F.col("own").cast("int").alias("k"), prefix(index).alias("e")).select("a", "v", "e.e", "k")
-    pairs = has.join(asks, ["v", "e", "k"]).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    head = F.max_by(F.struct(F.col("node").alias("v"), F.col("size").alias("sv"), F.col("label").alias("lv")), F.struct("degree", "node")).alias("p")
+    if of_class:
+        main = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+        centres = main.join(open_.groupBy("label").agg(head), "label").select("bucket", "p.v", "p.sv", "p.lv")
+    else:
+        centres = open_.groupBy("bucket").agg(head).select("bucket", "p.v", "p.sv", "p.lv")
+    met = materialise(open_.join(centres, "bucket").filter(F.least("size", "sv") >= outer * F.greatest("size", "sv")), "met")
+    seen = materialise(compare(met.select("node", "v", "label", "lv").distinct(), sets, outer), "seen")
+    links = seen.filter((F.col("j") >= threshold) & (F.col("label") != F.col("lv"))).select(F.col("node").alias("a"), F.col("v").alias("b"))
+    gone = seen.filter(F.col("j") >= far).select("node", "v")
+    left = met.select("bucket", "node", "v").join(small(gone, gone.count(), 24), ["node", "v"], "left_semi").select("bucket", "node")
+    rest = open_.join(left, ["bucket", "node"], "left_anti").select("bucket", "node", "size", "degree")
+    foreign = (F.col("label") != F.col("lv")) & (F.col("j") < threshold)
+    # what is common among the foreign members' differences to a centre, rare ones first
+    each = seen.filter(foreign).select("v", F.explode("d").alias("e")).groupBy("v", "e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    place = F.expr("row_number() OVER (PARTITION BY v ORDER BY f DESC, e)")
+    common = each.withColumn("place", place).filter(F.col("place") <= COMMON).groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "e"))), lambda x: x["e"]).alias("common"))
+    some = seen.filter(foreign).select("v").distinct()
+    near = seen.join(some, "v", "left_semi").join(common, "v", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    ordered = F.concat(F.sort_array(F.array_except("d", "common")), F.array_intersect("common", "d"))
+    near = near.select("node", "v", "label", "nx", "nv", F.size("d").alias("n"), foreign.alias("foreign"), ordered.alias("d"))
+    # the overlap that any link of this one needs, and that a link with a foreign one needs
+    own = F.col("n") - part * (1 + 1 / threshold) * F.col("nx")
+    ask = F.greatest(own, (F.col("n") + part * (F.col("nv") - F.col("nx"))) / 2)
+    prefix = lambda need: F.slice("d", 1, (F.col("n") - F.greatest(F.lit(1), F.ceil(need - SLACK)) + 1).cast("int"))
+    near = materialise(near.filter("n > 0"), "near")
+    side = lambda df, need, tag: df.select("v", F.col("node").alias(tag), F.col("label").alias(f"l{tag}"), F.col("nx").alias(f"w{tag}"), F.col("n").alias(f"n{tag}"), F.posexplode(prefix(need)).alias(f"i{tag}", "e"))
+    has, asks = side(near.filter("foreign"), own, "x"), side(near, ask, "y")
+    need = (F.col("nx") + F.col("ny") - part * (F.col("wx") + F.col("wy"))) / 2 - SLACK
+    can = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))  # if this is the first element in common
+    pairs = has.join(asks, ["v", "e"]).filter((F.col("lx") != F.col("ly")) & (can >= need) & (F.least("wx", "wy") >= threshold * F.greatest("wx", "wy")))
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     return links, materialise(pairs, "pairs"), rest
 
 
 def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each class; its columns stay."""
+    name = spare(docs, "__row_key")
     found = classes(docs, text=text, key=key)
     rows = materialise(found.groupBy("row_key").agg(F.bool_or("first").alias("first"), F.count(F.lit(1)).alias("n")), "rows")
-    gone = rows.filter("not first").select(F.col("row_key").alias("__row_key"))
-    kept = docs.withColumn("__row_key", row_key(key, text)).join(small(gone, gone.count(), 40), "__row_key", "left_anti")
+    gone = rows.filter("not first").select(F.col("row_key").alias(name))
+    kept = docs.withColumn(name, row_key(key, text)).join(small(gone, gone.count(), 48), name, "left_anti")
     worded = F.regexp_like(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z]"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if rows.filter("first and n > 1").isEmpty():
-        return kept.select(*docs.columns)
-    return kept.filter(worded).dropDuplicates(["__row_key"]).union(kept.filter(~worded)).select(*docs.columns)
+        return kept.select(*columns)
+    return kept.filter(worded).dropDuplicates([name]).union(kept.filter(~worded)).select(*columns)
 
 
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

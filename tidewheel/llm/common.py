@@ -7,14 +7,16 @@ depend on the size of its partition or on the longest text.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WINDOW_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -45,6 +47,43 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, or one like it that df has no column of (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def thrifty(run: Callable) -> Callable:
+    """A mapper for mapInArrow or an Arrow UDF that gives its memory back when a task ends.
+
+    Workers are used again, and would keep the peak of every kind of task they ran.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library has it
+                pass
+
+    return wrapped
+
+
+def arrow_column(run: Callable, kind: str) -> Callable:
+    """A column function from an Arrow mapper: only its arguments go to Python, and it runs once though used twice."""
+    run = thrifty(run)
+
+    def mapped(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(columns)
+
+    return F.arrow_udf(mapped, kind).asNondeterministic()
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a folder named by Hadoop's rules."""
     from pyarrow import fs
@@ -133,13 +172,31 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def hash_pieces(values: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of each piece [begin, stop) of well-mixed values: of what it holds, wherever it lies."""
+    up, down = _power_tables(len(values))
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64))
+
+
 def words(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word, and for each text the index of its first word.
+    """64-bit hash of every word in lower case (A-Z), and for each text the index of its first word.
+
+    Windows end between words, so long texts need no more memory than short ones.
+    """
+    return word_places(data, at, classes)[:2]
+
+
+def word_places(data: np.ndarray, at: np.ndarray, classes: np.ndarray, *, fold: bool = True, parts: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words() with the first byte of every word and the byte after it; without fold, case counts.
 
-    A word's hash depends on its lower-cased bytes only. Windows end between
-    words, so long texts need no more memory than short ones.
+    parts marks the bytes at which a word is cut, of the bytes of a window.
     """
     found: list[np.ndarray] = []
+    begins: list[np.ndarray] = []
+    stops: list[np.ndarray] = []
     first = np.zeros(len(at), np.int64)
     total = pos = doc = 0
     n = len(data)
@@ -160,6 +217,8 @@ def words(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.nda
         edge = np.zeros(end - pos + 1, bool)
         edge[at[lo:hi] - pos] = True
         edge[0] = edge[-1] = True
+        if parts is not None:
+            edge[:-1] |= parts(raw)
         before = np.empty_like(inside)
         before[0] = False
         before[1:] = inside[:-1]
@@ -168,13 +227,10 @@ def words(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.nda
         after[-1] = False
         after[:-1] = inside[1:]
         stop = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        up, down = _power_tables(end - pos)
-        sums = np.empty(end - pos + 1, np.uint64)
-        sums[0] = 0
-        lower = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
-        np.cumsum(_VALUES[lower] * up[: end - pos], out=sums[1:])
-        h = (sums[stop] - sums[begin]) * down[begin]
-        found.append(mix(h + (stop - begin).astype(np.uint64)))
+        lower = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32) if fold else raw
+        found.append(hash_pieces(_VALUES[lower], begin, stop))
+        begins.append(begin + pos)
+        stops.append(stop + pos)
         if hi > lo:
             first[lo:hi] = total + np.searchsorted(begin, at[lo:hi] - pos, "left")
         total += len(begin)
@@ -182,7 +238,8 @@ def words(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.nda
     first[np.searchsorted(at, n, "left") :] = total
     if not n:
         first[:] = 0
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), first
+    whole = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+    return whole(found, np.uint64), first, whole(begins, np.int64), whole(stops, np.int64)
 
 
 def gram_hashes(w: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
