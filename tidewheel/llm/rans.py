@@ -26,11 +26,12 @@ not read.
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import file_system, materialise, new_path, offsets_of, slices, table
+from .common import byte_class, file_system, materialise, mix, new_path, offsets_of, slices, table, thrifty, utf8, word_places
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -47,12 +48,27 @@ LANES = 1024
 CHECKPOINT_STEPS = 256
 BLOCK_TOKENS = 1 << 20
 LOW = 1 << 31
-#: Words whose ids a worker keeps, in each of two generations.
-MEMO = 450_000
-#: White space to Python that is none to the tokenizer.
-SEPARATORS = re.compile("[\x1c-\x1f]").search
-#: ASCII marks that never join a letter before them in a token.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words whose ids a worker keeps; so many newer ones are looked up apart before they join the others.
+MEMO = 1_000_000
+FRESH = 30_000
+_SPACE = byte_class("space")
+#: Fixed value: the pattern by which such a file cuts words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+#: ASCII marks but the apostrophe, which may begin a token with letters.
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
+
+
+def runs(raw: np.ndarray) -> np.ndarray:
+    """Where a mark follows a letter or a letter a mark: the pattern always cuts there. Letters are ASCII's and those of U+00C0 to U+024F."""
+    lead = (raw >= 0xC3) & (raw <= 0xC9)
+    lead[:-1] &= ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))  # the signs of multiplication and division
+    letter, mark = _ASCII_LETTER[raw], _MARK[raw]
+    ends = letter.copy()
+    ends[1:] |= lead[:-1]
+    out = np.zeros(len(raw), bool)
+    out[1:] = (mark[1:] & ends[:-1]) | (mark[:-1] & (letter | lead)[1:])
+    return out
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -61,8 +77,36 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo:
+    """Ids of words by hash, in sorted arrays."""
+
+    def __init__(self, kind: np.dtype):
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, kind)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        begin = len(self.ids) + np.cumsum(size) - size
+        keys, begin, size = np.concatenate([self.keys, keys]), np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key, whether it is there)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
 class WordTokenizer:
-    """The library's tokenizer with a memo of words: white space always parts its tokens."""
+    """The library's tokenizer with a memo of words: white space always parts its tokens.
+
+    A slice's words are told apart by hash; only those not seen before go to the
+    library, and ids of all words are gathered at once. If the file drops case and
+    cuts words by PATTERN, words are cut into runs of letters and marks first,
+    but where a special token's string occurs.
+    """
 
     def __init__(self, path: str):
         import os
@@ -74,56 +118,52 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes of self.kind."""
-        rows = [None if t and SEPARATORS(t) else (t or "").split() for t in texts]
-        memo, older = self.memo, self.older
-        missing: dict[str, bytes] = {}
-        parted: list[tuple[str, str, str]] = []
-
-        def want(w: str) -> None:
-            if w not in memo:
-                old = older.get(w)
-                if old is None:
-                    missing[w] = b""
-                else:
-                    memo[w] = old
-
-        for row in rows:
-            for w in row or ():
-                if w not in memo and w not in missing:
-                    old = older.get(w)
-                    if old is not None:
-                        memo[w] = old
-                        continue
-                    core = w.rstrip(MARKS)
-                    low, tail = core.lower(), w[len(core) :]
-                    if core.isalpha() and low.isalpha() and "\u03a3" not in core:  # tokens end with a run of letters; case is dropped
-                        want(low)
-                        if tail:
-                            want(tail)
-                        if low != w:
-                            parted.append((w, low, tail))
-                            memo[w] = b""
-                    else:
-                        missing[w] = b""
-        names = list(missing)
-        for begin in range(0, len(names), 4096):
-            part = names[begin : begin + 4096]
-            memo.update(zip(part, self.raw(part), strict=True))
-        for w, low, tail in parted:
-            memo[w] = memo[low] + memo[tail] if tail else memo[low]
-        out = [b"".join([memo[w] for w in row]) if row is not None else self.raw([t or ""])[0] for row, t in zip(rows, texts, strict=True)]
-        if len(memo) > MEMO:
-            self.memo, self.older = {}, memo if len(memo) <= 2 * MEMO else {}
-        return out
+        self.known, self.fresh = Memo(self.kind), Memo(self.kind)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["normalizer"] or {}).get("normalizers") or [spec["normalizer"] or {}]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [spec["pre_tokenizer"] or {}]
+        self.plain = any(x.get("type") == "Lowercase" for x in steps) and cuts[0].get("pattern") == {"Regex": PATTERN}
+        self.special = [x["content"].encode() for x in spec["added_tokens"]]
+
+    def learn(self, keys: np.ndarray, names: list[str]) -> None:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.fresh.add(keys, size, np.fromiter(chain.from_iterable(found), self.kind, int(size.sum())))
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by end_id; where each text begins)."""
+        data, at = utf8(column)
+        raw = data.tobytes()
+        cut = self.plain and not any(x in raw for x in self.special)
+        h, first, begin, stop = word_places(data, at, _SPACE, fold=cut, parts=runs if cut else None)
+        if not cut:
+            h = mix(h)  # cut and whole words are told apart
+        keys, rank, which = np.unique(h, return_index=True, return_inverse=True)
+        old, is_old = self.known.find(keys)
+        new, is_new = self.fresh.find(keys)
+        missing = np.flatnonzero(~is_old & ~is_new)
+        if len(missing):
+            for part in np.array_split(missing, -(-len(missing) // 4096)):
+                self.learn(keys[part], [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[rank[part]].tolist(), stop[rank[part]].tolist(), strict=True)])
+            new, is_new = self.fresh.find(keys)
+        ids = np.concatenate([self.known.ids, self.fresh.ids]) if is_old.any() else self.fresh.ids
+        place, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        place[is_old], size[is_old] = self.known.begin[old[is_old]], self.known.size[old[is_old]]
+        shift = len(self.known.ids) if is_old.any() else 0
+        place[is_new], size[is_new] = self.fresh.begin[new[is_new]] + shift, self.fresh.size[new[is_new]]
+        each = size[which]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        edges = upto[first] + np.arange(len(first))
+        out = np.full(edges[-1], end_id, self.kind)
+        body = np.ones(edges[-1], bool)
+        body[edges[1:] - 1] = False
+        out[body] = ids[np.repeat(place[which] - upto[:-1], each) + np.arange(upto[-1])]
+        if len(self.fresh.keys) > FRESH:
+            if len(self.known.keys) > MEMO:
+                self.known = Memo(self.kind)
+            self.known.add(self.fresh.keys, self.fresh.size, self.fresh.ids[np.repeat(self.fresh.begin - (np.cumsum(self.fresh.size) - self.fresh.size), self.fresh.size) + np.arange(self.fresh.size.sum())])
+            self.fresh = Memo(self.kind)
+        return out, edges
 
 
 @lru_cache(1)
@@ -136,12 +176,13 @@ def tokenize(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(path)
-        end = np.array([end_id], t.kind).tobytes()
-        for batch in slices(batches, "t", 2 << 20):
-            rows = [x + end for x in t.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // t.kind.itemsize for x in rows], pa.int64()), pa.array(rows, pa.binary())], ["key", "n_tokens", "ids"])
+        for batch in slices(batches, "t"):
+            ids, edges = t.encode(batch.column(1), end_id)
+            width = t.kind.itemsize
+            rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(edges * width), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), rows], ["key", "n_tokens", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).mapInArrow(run, "key long, n_tokens long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).mapInArrow(thrifty(run), "key long, n_tokens long, ids binary")
 
 
 def frequencies(tokens: DataFrame, kind: str) -> dict[int, int]:
@@ -157,7 +198,7 @@ def frequencies(tokens: DataFrame, kind: str) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(thrifty(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r[0]: r[1] for r in rows}
 
 
@@ -332,7 +373,7 @@ def write_tokens(tokens: DataFrame, folder: str, *, kind: str = "<u2") -> None:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind_) for c, kind_ in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["file", "part", "block", "offset", "length", "n_docs", "n_tokens"])
 
-    ordered.select("key", "ids").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    ordered.select("key", "ids").mapInArrow(thrifty(run), INDEX).write.parquet(f"{folder}/index")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -383,7 +424,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     rows = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends[a:b].tolist(), sizes[a:b].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(row["start"] + ends[a:b] - sizes[a:b]), pa.array(sizes[a:b]), pa.array(rows, pa.binary())], ["key", "start", "n_tokens", "ids"])
 
-    return placed.repartition(many, "file", "offset").mapInArrow(run, "key long, start long, n_tokens long, ids binary")
+    return placed.repartition(many, "file", "offset").mapInArrow(thrifty(run), "key long, start long, n_tokens long, ids binary")
 
 
 def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
