@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import arrow_column, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Stretches whose encoding a worker keeps, in each of two generations: when the newer one is
 #: full it becomes the older one, and what is used again moves up.
-MEMO = 300_000
+MEMO = 150_000
 
 #: Fixed value: the pre-token pattern of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -134,7 +134,7 @@ class ByteBPE:
                 bound, a = left, parts[a][1]
             else:  # of equal ranks the left one merges first, so the right one is the later
                 bound, b = right + 1, parts[b][0]
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
         self.pairs[key] = fits
         return fits
@@ -236,36 +236,40 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_decode(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept columns, ids array<int>, decoded string) of every row, in one pass without a shuffle."""
-    names = [key, *keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields) + ", ids array<int>, decoded string"
+CODED = "struct<ids:array<int>,decoded:string>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encode_decode(docs: DataFrame, path: str, *, text: str = "text", into: str = "coded") -> DataFrame:
+    """docs with a column `into` of (ids, decoded), in one pass without a shuffle; only texts go to Python."""
+
+    def coded(bpe: ByteBPE, column: pa.Array) -> pa.Array:
+        rows = [bpe.encode(t) if t else [] for t in column.to_pylist()]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.fromiter(chain.from_iterable(rows), np.int64, int(ends[-1]))
+        at = np.concatenate([[0], np.cumsum(bpe.offsets[flat + 1] - bpe.offsets[flat])])[ends]
+        data = bpe.decode_bytes(flat).tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
+        return pa.StructArray.from_arrays([ids, pa.array(texts, pa.string())], ["ids", "decoded"])
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for batch in slices(batches, "__text", 1 << 20):
-            rows = [bpe.encode(t) if t else [] for t in batch.column(len(names)).to_pylist()]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.fromiter(chain.from_iterable(rows), np.int64, int(ends[-1]))
-            raw = bpe.decode_bytes(flat)
-            at = np.concatenate([[0], np.cumsum(bpe.offsets[flat + 1] - bpe.offsets[flat])])[ends]
-            data = raw.tobytes()
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids, pa.array(texts, pa.string())], [*names, "ids", "decoded"])
+        for column in columns:
+            parts = [coded(bpe, part.column(0)) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t")]
+            yield pa.concat_arrays(parts) if parts else coded(bpe, column)
+
+    return docs.withColumn(into, arrow_column(run, CODED)(F.col(text)))
+
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+def digests(coded: str = "coded") -> list:
+    """Columns n_tokens, ids_sha256 and decoded_sha256 of what encode_decode() found."""
+    ids = F.col(f"{coded}.ids")
+    return [F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col(f"{coded}.decoded"), 256).alias("decoded_sha256")]
 
 
 def op5_bpe_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path()).select("doc_id", *digests())
 
 
 QUERIES = {"op5_bpe_backtrack": op5_bpe_backtrack}

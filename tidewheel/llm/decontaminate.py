@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_class, mix, slices, table, utf8, words
+from .common import arrow_column, byte_class, mix, slices, spare, table, utf8, words
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -184,47 +184,50 @@ def blocks_of(benchmark: DataFrame, window: int, item: str, text: str) -> list:
     return out
 
 
-RESULT = "n_words long, n_hit long, items array<string>, matches array<struct<item:string,doc_word:int,item_word:int,n_words:int>>"
+RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,matches:array<struct<item:string,doc_word:int,item_word:int,n_words:int>>>"
 
 
-def verbatim_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The kept columns of every row, its words, the words hit, the items, and the longest matches.
+def verbatim_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", into: str = "verbatim", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs with a column `into`: a text's words, the words hit, the items, and the longest matches.
 
     matches: item, first word in the document and in the item, and how many words agree.
+    Only texts go to Python.
     """
     blocks = blocks_of(benchmark, window, item, item_text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", " + RESULT
-    arrow = pa.list_(pa.struct([("item", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 2 << 20):
-            data, at = utf8(batch.column(len(keep)))
-            w, first = words(data, at, _ALNUM)
-            n = batch.num_rows
-            delta = np.zeros(len(w) + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            matches: dict[int, list[dict]] = {}
-            for shared in blocks:
-                tests = shared.value
-                doc, where, window_id = match_shard(w, first, tests)
-                if not len(doc):
-                    continue
-                np.add.at(delta, where, 1)
-                np.add.at(delta, where + tests.sizes[window_id], -1)
-                collect(tests, doc, where - first[doc], window_id, items, matches)
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(delta)[:-1] > 0)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[: len(keep)],
-                    pa.array(np.diff(first), pa.int64()),
-                    pa.array(hit[first[1:]] - hit[first[:-1]], pa.int64()),
-                    pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
-                    pa.array([matches.get(k, []) for k in range(n)], arrow),
-                ],
-                [*keep, "n_words", "n_hit", "items", "matches"],
-            )
-
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = [found_in(part.column(0), [x.value for x in blocks]) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t")]
+            yield pa.concat_arrays(parts) if parts else found_in(column, [])
+
+    return docs.withColumn(into, arrow_column(run, RESULT)(F.col(text)))
+
+
+def found_in(column: pa.Array, blocks: list[TestSuffixes]) -> pa.Array:
+    """RESULT of every text of a shard."""
+    data, at = utf8(column)
+    w, first = words(data, at, _ALNUM)
+    delta = np.zeros(len(w) + 1, np.int64)
+    items: dict[int, set[str]] = {}
+    matches: dict[int, list[dict]] = {}
+    for tests in blocks:
+        doc, where, window_id = match_shard(w, first, tests)
+        if len(doc):
+            np.add.at(delta, where, 1)
+            np.add.at(delta, where + tests.sizes[window_id], -1)
+            collect(tests, doc, where - first[doc], window_id, items, matches)
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(delta)[:-1] > 0)])
+    arrow = pa.list_(pa.struct([("item", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))
+    n = len(column)
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(np.diff(first), pa.int64()),
+            pa.array(hit[first[1:]] - hit[first[:-1]], pa.int64()),
+            pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
+            pa.array([matches.get(k, []) for k in range(n)], arrow),
+        ],
+        ["n_words", "n_hit", "items", "matches"],
+    )
 
 
 def collect(tests: TestSuffixes, doc: np.ndarray, word: np.ndarray, window_id: np.ndarray, items: dict, matches: dict) -> None:
@@ -245,25 +248,26 @@ def collect(tests: TestSuffixes, doc: np.ndarray, word: np.ndarray, window_id: n
         matches.setdefault(d, []).append({"item": tests.items[i], "doc_word": a, "item_word": o, "n_words": n})
 
 
-def contaminated():
+def contaminated(found: str = "verbatim"):
     """The contract's rule: a twentieth of the words or more lies in benchmark windows."""
-    return (F.col("n_hit") > 0) & (F.lit(20) * F.col("n_hit") >= F.col("n_words"))
+    hit, n = F.col(f"{found}.n_hit"), F.col(f"{found}.n_words")
+    return (hit > 0) & (F.lit(20) * hit >= n)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows; rows keep all their columns."""
-    found = verbatim_matches(docs, benchmark, keep=tuple(docs.columns))
-    return found.filter(~contaminated()).select(*docs.columns)
+    name = spare(docs, "verbatim")
+    return verbatim_matches(docs, benchmark, into=name).filter(~contaminated(name)).drop(name)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verbatim_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = verbatim_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "verbatim.n_words",
+        "verbatim.n_hit",
+        F.size("verbatim.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("verbatim.items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
 
