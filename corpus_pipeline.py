@@ -6,46 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import bagminhash, bpe, decontaminate, language, secrets
-from tidewheel.llm.common import materialise, table
+from tidewheel.llm.common import materialise, spare, table
 
 #: Share of a text's letters that its main language needs.
 LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language, or of which no language has half of the letters."""
+    """Drop documents without a language, or of which no language has half of the letters.
+
+    So null and letterless texts go; ties and repeated rows stay or go alike. Rows
+    without a label or key are not learned from.
+    """
     model = language.train(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out()))
-    found = language.identify(docs, model, keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    name = spare(docs, "language")
+    found = language.identify(docs, model, into=name)
+    return found.filter((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_SHARE)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least key of each class of near-duplicates."""
+    """Keep one document of each class of near-duplicates, the one with the least key (null is last).
+
+    Texts without words are classes of their own; of rows with equal key and text
+    one stays.
+    """
     return bagminhash.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more is benchmark text."""
+    """Drop documents of which a twentieth or more is benchmark text; null and empty texts have none."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace live-looking secrets in the texts; examples that many sources share stay."""
+    """Replace live-looking secrets in the texts; widely copied examples stay, and so do all rows; null stays null."""
     return secrets.redact(docs)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with a proof that they decode to its text."""
-    path = bpe.vocabulary_path()
-    coded = bpe.encode_decode(docs, path, keep=("lang", "source"))
-    return coded.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Token ids of every document, with a proof that they decode to its text; null is empty."""
+    name = spare(docs, "coded")
+    return bpe.encode_decode(docs, bpe.vocabulary_path(), into=name).select("doc_id", "lang", "source", *bpe.digests(name))
 
 
 STAGES = [
