@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewheel import config as C
 from tidewheel.functions.expressions import distance, over, r6, ratio
 from tidewheel.operators.oracle import cte, with_
+from tidewheel.operators.store import stored
 from tidewheel.sources.adapter import prices_daily
 
 #: First what only needs the prices, then what needs those columns.
@@ -103,5 +104,5 @@ _SETS = {
     "w12_adr": [r6("coalesce(adr20, 0.0)", "adr20")],
     "w15_atr20": [r6("coalesce(atr20, 0.0)", "atr20")],
 }
-QUERIES = {k: (lambda spark, d, x=x: all_bars(spark, d).selectExpr(*_KEYS, *x)) for k, x in _SETS.items()}
+QUERIES = {k: (lambda spark, d, x=x: stored(spark, d, "bars", lambda: all_bars(spark, d)).selectExpr(*_KEYS, *x)) for k, x in _SETS.items()}
 ORACLE = {k: with_(f"SELECT {', '.join(_KEYS + x)} FROM x_bars") for k, x in _SETS.items()}

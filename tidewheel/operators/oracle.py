@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 CTES: dict[str, str] = {}
+#: Used in many places of a statement: computed once.
+SHARED = ("x_prices", "x_bars", "x_dates", "x_eff", "x_members", "x_sectors", "x_industries", "x_stocks", "x_catalysts", "x_previous", "x_macro_asof", "x_flags", "x_action", "x_ibars")
 
 
 def cte(name: str, sql: str) -> None:
@@ -21,4 +23,4 @@ def with_(final: str) -> str:
                 needed[name] = None
 
     visit(final)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" + final if needed else final
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({CTES[n]})" for n in needed) + "\n" + final if needed else final

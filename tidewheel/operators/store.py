@@ -1,8 +1,9 @@
-"""Stored tables: upserts by key, replaced date partitions, appended runs, exports."""
+"""Stored tables: derived once, upserts by key, replaced date partitions, appended runs, exports."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,73 @@ KEYS = {
 }
 
 
-def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+#: Tables that market plans derive from.
+SOURCES = ("region", "nation", "supplier", "part", "lineitem", "orders", "events")
+_STORED: dict[tuple, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on a cluster it must be named, a local one is set only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "/tmp/checkpoints"
+    return found.rstrip("/")
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the source tables of a folder are now: name, bytes and time of each."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for name in SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        if fs.exists(path):
+            out.append((name, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
+    return (sf_dir, *out)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The derived table `name` of a folder, written at its first use and read from then on.
+
+    Plans above it scan its columns only, and the source tables are not read again.
+    A session writes it anew if a source table has changed.
+    """
+    key = (spark.sparkContext.applicationId, name, stamp(spark, sf_dir))
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/market/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def between(df: DataFrame, first: str | None = None, last: str | None = None, *, by: str = "date", before: str | None = None) -> DataFrame:
+    """Rows of a stored table from `first` to `last`, both included, or up to but not including `before`; the scan prunes by them."""
+    for bound, test in ((first, ">="), (last, "<="), (before, "<")):
+        if bound is not None:
+            df = df.filter(F.expr(f"{by} {test} DATE '{bound}'"))
+    return df
+
+
+def on(df: DataFrame, day: str, *, by: str = "date") -> DataFrame:
+    return df.filter(F.expr(f"{by} = DATE '{day}'"))
+
+
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """stored with the rows of new in place of those with their keys; columns that one side lacks are null.
 
-    Rows of new that repeat a key count once, rows with an empty event id not at all.
+    Of rows of new that repeat a key the last by `order` counts (without one, that
+    which is last by all columns); rows with an empty event id don't.
     """
     if "source_event_id" in keys:
         new = new.filter("source_event_id <> ''")
-    new = new.dropDuplicates(keys)
+    rest = [F.col(c) for c in new.columns if c not in keys]
+    by = F.struct(F.col(order), *rest) if order else F.struct(*rest) if rest else F.lit(1)
+    if rest:
+        new = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("last_")).select(*keys, "last_.*")
+    else:
+        new = new.dropDuplicates(keys)
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

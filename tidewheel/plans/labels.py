@@ -165,7 +165,7 @@ cte("x_top", f"SELECT * FROM x_stocks WHERE rank <= {C.WATCHLIST}")
 cte("x_previous", "SELECT n.next_score_date AS score_date, t.symbol FROM x_top t JOIN (SELECT score_date, lead(score_date) OVER (ORDER BY score_date) AS next_score_date FROM x_dates) n ON n.score_date = t.score_date WHERE n.next_score_date IS NOT NULL")
 cte(
     "x_watch1",
-    "SELECT t.*, c.catalyst, (t.score_date, t.symbol) IN (SELECT (score_date, symbol) FROM x_previous) AS in_previous, t.score_date IN (SELECT score_date FROM x_previous) AS has_previous, s.rank AS sector_rank, i.rank AS industry_rank, g.label AS regime, f.flags FROM x_top t JOIN x_catalysts c USING (score_date, symbol) JOIN x_sectors s ON s.score_date = t.score_date AND s.sector = t.sector LEFT JOIN x_industries i ON i.score_date = t.score_date AND i.sector = t.sector AND i.industry = t.industry JOIN x_regime g ON g.score_date = t.score_date JOIN x_flags f ON f.score_date = t.score_date",
+    "SELECT t.*, c.catalyst, p.symbol IS NOT NULL AS in_previous, h.score_date IS NOT NULL AS has_previous, s.rank AS sector_rank, i.rank AS industry_rank, g.label AS regime, f.flags FROM x_top t JOIN x_catalysts c USING (score_date, symbol) JOIN x_sectors s ON s.score_date = t.score_date AND s.sector = t.sector LEFT JOIN x_industries i ON i.score_date = t.score_date AND i.sector = t.sector AND i.industry = t.industry JOIN x_regime g ON g.score_date = t.score_date JOIN x_flags f ON f.score_date = t.score_date LEFT JOIN x_previous p ON p.score_date = t.score_date AND p.symbol = t.symbol LEFT JOIN (SELECT DISTINCT score_date FROM x_previous) h ON h.score_date = t.score_date",
 )
 cte("x_watch", f"SELECT *, {WATCH_TEXT} AS labels FROM x_watch1")
 
@@ -178,18 +178,33 @@ class Labelled(Market):
         self.events, self.series = market_events(spark, sf_dir), macro_series(spark, sf_dir)
 
     def status(self) -> DataFrame:
-        return catalysts(self.stock_scores(), self.events)
+        return self.table("catalysts", self._status)
 
     def actions(self) -> DataFrame:
-        return actionability(self.stock_scores(), self.status())
+        return self.table("actionability", self._actions)
 
     def macro(self) -> DataFrame:
-        return macro_asof(self.series, self.dates)
+        return self.table("macro_asof", self._macro)
 
     def flags(self) -> DataFrame:
-        return macro_flags(self.macro(), self.dates)
+        return self.table("macro_flags", self._flags)
 
     def watch(self) -> DataFrame:
+        return self.table("watchlists", self._watch)
+
+    def _status(self) -> DataFrame:
+        return catalysts(self.stock_scores(), self.events)
+
+    def _actions(self) -> DataFrame:
+        return actionability(self.stock_scores(), self.status())
+
+    def _macro(self) -> DataFrame:
+        return macro_asof(self.series, self.dates)
+
+    def _flags(self) -> DataFrame:
+        return macro_flags(self.macro(), self.dates)
+
+    def _watch(self) -> DataFrame:
         return watchlist(self.stock_scores(), self.sectors(), self.industries(), self.status(), self.regime(), self.flags(), self.dates)
 
 

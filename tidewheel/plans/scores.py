@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from tidewheel.functions.expressions import clamp, distance, r6, rank_key, rel_s
 from tidewheel.operators.asof import effective, score_dates
 from tidewheel.operators.features import all_bars
 from tidewheel.operators.oracle import cte, with_
+from tidewheel.operators.store import stored
 from tidewheel.sources.adapter import sector_map, symbols
 
 # ---- shared formulas ------------------------------------------------------------
@@ -65,17 +67,27 @@ def text(d: dict[str, str]) -> str:
 
 
 class Market:
-    """Tables of one folder that several plans share; each is built once as a plan."""
+    """Tables of one folder that several plans share.
+
+    Bars, bars in effect and scores are stored at their first use, so a plan reads
+    the columns it needs of them and no plan holds another one twice.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, bars: DataFrame | None = None, members: DataFrame | None = None, funds: DataFrame | None = None):
-        self.bars = all_bars(spark, sf_dir) if bars is None else bars
+        self.spark, self.sf_dir = spark, sf_dir
+        self._keep = bars is None and members is None and funds is None
+        self.bars = self.table("bars", lambda: all_bars(spark, sf_dir)) if bars is None else bars
         self.symbols = symbols(spark, sf_dir) if members is None else members
         self.funds = sector_map(spark, sf_dir) if funds is None else funds
-        self.dates = score_dates(self.bars)
-        self.eff = effective(self.bars, self.dates)
+        self.dates = self.table("score_dates", lambda: score_dates(self.bars))
+        self.eff = self.table("effective", lambda: effective(self.bars, self.dates))
         self.spy = self.eff.filter("symbol = 'SPY'").selectExpr("score_date", "coalesce(r20, 0.0) AS spy20")
         self.stocks = self.symbols.filter("asset_type = 'stock'").select("symbol", "name", "sector", "industry")
 
+    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stored table of the folder; tables given by the caller are planned through."""
+        return stored(self.spark, self.sf_dir, name, build) if self._keep else build()
+
     def regime(self) -> DataFrame:
         """One row a date: inputs, score, base_label, context, label."""
         wide = self.eff.filter(F.col("symbol").isin("SPY", *C.PROXIES.values())).groupBy("score_date").agg(*(F.expr(x).alias(k) for k, x in REGIME_INPUTS.items()))
@@ -98,12 +110,18 @@ class Market:
         return spine.join(fund, ["score_date", "sector_etf"], "left").join(self.spy, "score_date").select("score_date", "sector", "sector_etf", *zero, F.coalesce("rv20", F.lit(1.0)).alias("rel_volume"), "spy20")
 
     def sectors(self) -> DataFrame:
+        return self.table("sectors", self._sectors)
+
+    def _sectors(self) -> DataFrame:
         joined = self.fund_bars().join(self.breadth("sector").select("score_date", "sector", "breadth_20d", "breadth_50d"), ["score_date", "sector"], "left").na.fill(0.0, ["breadth_20d", "breadth_50d"])
         scored = joined.selectExpr("*", *named(SECTOR_PARTS)).withColumn("score", F.expr(SECTOR_SCORE))
         ranked = scored.withColumn("rank", F.expr(f"CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')} DESC, sector) AS INT)"))
         return ranked.withColumn("rank_change", F.expr("coalesce(CAST(lag(rank, 1) OVER (PARTITION BY sector ORDER BY score_date) - rank AS DOUBLE), 0.0)"))
 
     def industries(self) -> DataFrame:
+        return self.table("industries", self._industries)
+
+    def _industries(self) -> DataFrame:
         grouped = self.stocks.filter("sector IS NOT NULL AND industry IS NOT NULL").groupBy("sector", "industry").agg(F.count(F.lit(1)).alias("member_count"))
         spine = self.fund_bars().selectExpr("score_date", "sector", "r20 AS sector_r20", "spy20").join(grouped, "sector")
         seen = self.breadth("sector", "industry")
@@ -114,12 +132,15 @@ class Market:
         return out.withColumn("score", F.expr(INDUSTRY_SCORE)).withColumn("rank", F.expr(f"CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')} DESC, sector, industry) AS INT)"))
 
     def stock_scores(self) -> DataFrame:
+        return self.table("stock_scores", self._stock_scores)
+
+    def _stock_scores(self) -> DataFrame:
         """The best STORED_STOCKS liquid stocks of every date, with their price-structure measures."""
         fund = self.sectors().selectExpr("score_date", "sector", "r20 AS sector_r20", "spy20", "score AS sector_score")
         zero = [f"coalesce({c}, 0.0) AS {c}" for c in CARRY]
         rows = self.member_bars().filter("sector IS NOT NULL AND industry IS NOT NULL").filter(F.coalesce("adv20", F.lit(0.0)) >= C.MIN_DOLLAR_VOLUME)
         rows = rows.selectExpr("score_date", "symbol", "name", "sector", "industry", *zero, "coalesce(rv20, 1.0) AS rel_volume", "coalesce(adv20, 0.0) AS avg_dollar_volume", "trend_state", *named(METRICS))
-        joined = rows.join(fund, ["score_date", "sector"]).selectExpr("*", "r20 - sector_r20 AS rel_sector", "r20 - spy20 AS rel_spy").withColumn("score", F.expr(STOCK_SCORE))
+        joined = rows.join(fund, ["score_date", "sector"], "left").withColumn("sector_score", F.coalesce("sector_score", F.lit(C.NEUTRAL))).na.fill(0.0, ["sector_r20", "spy20"]).selectExpr("*", "r20 - sector_r20 AS rel_sector", "r20 - spy20 AS rel_spy").withColumn("score", F.expr(STOCK_SCORE))
         return joined.withColumn("rank", F.expr(f"CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')} DESC, symbol) AS INT)")).filter(F.col("rank") <= C.STORED_STOCKS)
 
 
@@ -143,7 +164,7 @@ cte("x_sectors", "SELECT *, coalesce(CAST(lag(rank, 1) OVER (PARTITION BY sector
 cte("x_industries1", "SELECT f.score_date, f.sector, g.industry, g.member_count, coalesce(b.valid_members, 0) AS valid_members, coalesce(m5, 0.0) AS return_5d, coalesce(m20, 0.0) AS return_20d, coalesce(m60, 0.0) AS return_60d, coalesce(m20, 0.0) - f.r20 AS rel_sector, coalesce(m20, 0.0) - f.spy20 AS rel_spy, coalesce(mrv, 1.0) AS rel_volume, coalesce(breadth_20d, 0.0) AS breadth_20d, coalesce(breadth_50d, 0.0) AS breadth_50d, coalesce(high_20d_rate, 0.0) AS high_20d_rate FROM x_funds f JOIN (SELECT sector, industry, count(*) AS member_count FROM x_symbols WHERE asset_type = 'stock' AND sector IS NOT NULL AND industry IS NOT NULL GROUP BY sector, industry) g ON f.sector = g.sector LEFT JOIN x_breadth_industry b ON b.score_date = f.score_date AND b.sector = g.sector AND b.industry = g.industry")
 cte("x_industries2", f"SELECT *, {INDUSTRY_SCORE} AS score FROM x_industries1")
 cte("x_industries", f"SELECT *, CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')} DESC, sector, industry) AS INT) AS rank FROM x_industries2")
-cte("x_stocks1", f"SELECT m.score_date, symbol, name, m.sector, industry, {', '.join(f'coalesce(m.{c}, 0.0) AS {c}' for c in CARRY)}, coalesce(rv20, 1.0) AS rel_volume, coalesce(adv20, 0.0) AS avg_dollar_volume, trend_state, {text(METRICS)}, s.r20 AS sector_r20, s.spy20, s.score AS sector_score FROM x_members m JOIN x_sectors s ON s.score_date = m.score_date AND s.sector = m.sector WHERE industry IS NOT NULL AND coalesce(adv20, 0.0) >= {C.MIN_DOLLAR_VOLUME}")
+cte("x_stocks1", f"SELECT m.score_date, symbol, name, m.sector, industry, {', '.join(f'coalesce(m.{c}, 0.0) AS {c}' for c in CARRY)}, coalesce(rv20, 1.0) AS rel_volume, coalesce(adv20, 0.0) AS avg_dollar_volume, trend_state, {text(METRICS)}, coalesce(s.r20, 0.0) AS sector_r20, coalesce(s.spy20, 0.0) AS spy20, coalesce(s.score, {C.NEUTRAL}) AS sector_score FROM x_members m LEFT JOIN x_sectors s ON s.score_date = m.score_date AND s.sector = m.sector WHERE m.sector IS NOT NULL AND industry IS NOT NULL AND coalesce(adv20, 0.0) >= {C.MIN_DOLLAR_VOLUME}")
 cte("x_stocks2", "SELECT *, r20 - sector_r20 AS rel_sector, r20 - spy20 AS rel_spy FROM x_stocks1")
 cte("x_stocks3", f"SELECT *, {STOCK_SCORE} AS score FROM x_stocks2")
 cte("x_stocks4", f"SELECT *, CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')} DESC, symbol) AS INT) AS rank FROM x_stocks3")
