@@ -20,12 +20,12 @@ TYPES = ("orb_breakout", "hod_break", "volume_dryup_confirmation", "micro_cluste
 # ---- daily measures -------------------------------------------------------------
 
 
-def mansfield(bars: DataFrame, benchmark: DataFrame, name: str = "mansfield") -> DataFrame:
+def mansfield(bars: DataFrame, benchmark: DataFrame, name: str = "mansfield", by: tuple[str, ...] = ("date",)) -> DataFrame:
     """bars with the ratio to the benchmark's close as of each day over its mean of 50 bars; null unless all are there.
 
-    benchmark has bench (the symbol it is compared for is in `for_`, or none for all).
+    benchmark has bench and the columns `by`: the date, and what else it is picked by.
     """
-    out = bars.join(benchmark, "date", "left").withColumn("ratio", F.expr(ratio("ac", "bench")))
+    out = bars.join(benchmark, list(by), "left").withColumn("ratio", F.expr(ratio("ac", "bench")))
     frame = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
     return out.withColumn(name, F.expr(f"CASE WHEN count(ratio) {frame} = 50 THEN {ratio('ratio', f'avg(ratio) {frame}')} END")).drop("ratio", "bench")
 
@@ -36,6 +36,14 @@ def benchmark(bars: DataFrame, symbol: str = "SPY") -> DataFrame:
     return effective(bars.filter(F.col("symbol") == symbol), dates).select(F.col("score_date").alias("date"), F.col("ac").alias("bench"))
 
 
+def sector_mansfield(market: Market) -> DataFrame:
+    """Stocks' bars with the ratio to their sector's fund."""
+    dates = market.bars.select(F.col("date").alias("score_date")).distinct()
+    held = effective(market.bars.join(F.broadcast(market.funds.select(F.col("sector_etf").alias("symbol"))), "symbol", "left_semi"), dates)  # a row for each sector
+    bench = held.select(F.col("score_date").alias("date"), F.col("symbol").alias("sector_etf"), F.col("ac").alias("bench")).join(F.broadcast(market.funds), "sector_etf").drop("sector_etf")
+    return mansfield(market.bars.join(market.stocks.select("symbol", "sector"), "symbol"), bench, "mansfield_sector", ("date", "sector"))
+
+
 def _ema(n: int) -> str:
     seed = f"aggregate(slice(a, 1, {n}), 0D, (s, x) -> s + x) / {n}"
     return f"CASE WHEN size(a) >= {n} THEN aggregate(slice(a, {n + 1}, size(a)), {seed}, (s, x) -> x * {2 / (n + 1)!r}D + s * {1 - 2 / (n + 1)!r}D) END"
@@ -57,6 +65,8 @@ def _ema_sql(n: int) -> str:
 cte("x_ema", f"SELECT symbol, {_ema_sql(10)} AS ema10, {_ema_sql(20)} AS ema20 FROM (SELECT symbol, list(ac ORDER BY bar_idx) AS a FROM x_bars GROUP BY symbol)")
 cte("x_ratio", "SELECT b.*, b.ac / nullif(p.ac, 0) AS ratio FROM x_bars b ASOF LEFT JOIN (SELECT date, ac FROM x_bars WHERE symbol = 'SPY') p ON b.date >= p.date")
 cte("x_mansfield", "SELECT *, CASE WHEN count(ratio) OVER w = 50 THEN ratio / nullif(avg(ratio) OVER w, 0) END AS mansfield FROM x_ratio WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+cte("x_sector_ratio", "SELECT b.*, b.ac / nullif(p.ac, 0) AS ratio FROM (SELECT b.*, m.sector_etf FROM x_bars b JOIN x_symbols s ON s.symbol = b.symbol AND s.asset_type = 'stock' JOIN x_sector_map m ON m.sector = s.sector) b ASOF LEFT JOIN (SELECT symbol AS fund, date, ac FROM x_bars) p ON b.sector_etf = p.fund AND b.date >= p.date")
+cte("x_mansfield_sector", "SELECT *, CASE WHEN count(ratio) OVER w = 50 THEN ratio / nullif(avg(ratio) OVER w, 0) END AS mansfield_sector FROM x_sector_ratio WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
 STAGE1 = ["adr20", "rv20", "atr20", "mansfield", "ema10", "ema20"]
 _NO_NULL = " AND ".join(f"{c} IS NOT NULL" for c in STAGE1)
 _PLACE = "CAST(row_number() OVER (ORDER BY floor(mansfield * 1e8 + 0.50001) DESC, floor(rv20 * 1e8 + 0.50001) DESC, symbol) AS INT) AS place, count(*) OVER () AS n"
@@ -188,11 +198,19 @@ _TRIGGERS = "(SELECT symbol, trigger_type, min(slot) AS slot, arg_min(close, idx
 _SEEN = f"seen AS (SELECT *, {_named(MORE)} FROM (SELECT *, {_named(MEASURED)} FROM (SELECT i.symbol, i.slot, i.idx, i.n, i.high, i.low, i.close, i.volume, l.poc, l.val, l.vwap, l.ema10, l.ema20 FROM x_ibars i JOIN {_LEVELLED} l USING (symbol))))"
 
 
+#: How far a candidate came.
+READINESS = "CASE WHEN stage2 AND trigger_count > 0 THEN 'intraday_execution_ready' WHEN stage2 THEN 'structural_pullback_setup' ELSE 'high_momentum_universe' END"
+_READY_SQL = f"""(SELECT *, stage2 AND trigger_count > 0 AS stage3, {READINESS} AS primary_label FROM (
+  SELECT c.symbol, c.date, c.place, coalesce(s.price, c.ac) AS price, coalesce(s.confluence, '') AS confluence, coalesce(s.stage2, false) AS stage2, CASE WHEN s.stage2 THEN coalesce(h.n, 0) ELSE 0 END AS trigger_count
+  FROM x_stage1 c LEFT JOIN (SELECT symbol, price, {CONFLUENCE} AS confluence, {PASSES} AS stage2 FROM {_SETUP}) s ON s.symbol = c.symbol
+  LEFT JOIN (SELECT symbol, count(*) AS n FROM {_TRIGGERS} WHERE hit GROUP BY symbol) h ON h.symbol = c.symbol WHERE c.candidate))"""
+
+
 class Funnel:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.market = Market(spark, sf_dir)
-        self.bars = prices_intraday(spark, sf_dir, self.market)
-        self.stage1 = stage1(self.market)
+        self.bars = self.market.table("prices_intraday", lambda: prices_intraday(spark, sf_dir, self.market))
+        self.stage1 = self.market.table("stage1", lambda: stage1(self.market))
 
     def levels(self) -> DataFrame:
         return self.stage1.select("symbol", "ema10", "ema20", "place", "candidate").join(volume_profile(self.bars), "symbol").select("symbol", "poc", "val", "vah", "vwap", "ema10", "ema20", "place", "candidate")
@@ -205,6 +223,17 @@ class Funnel:
     def triggers(self) -> DataFrame:
         return triggers(self.bars, self.levels().drop("vah", "place", "candidate"))
 
+    def readiness(self) -> DataFrame:
+        """One row a candidate: how far it came, and why. Only those that pass the second stage are searched for triggers.
+
+        A candidate without a session has its daily price and no confluence.
+        """
+        setups = self.setups().filter("candidate").select("symbol", F.col("price").alias("session_price"), "confluence", "stage2", "poc", "val", "vwap", "ema10", "ema20")
+        levels = setups.filter("stage2").select("symbol", "poc", "val", "vwap", "ema10", "ema20")
+        hits = triggers(self.bars.join(levels.select("symbol"), "symbol", "left_semi"), levels).groupBy("symbol").agg(F.count(F.lit(1)).alias("hits"))
+        rows = self.stage1.filter("candidate").select("symbol", "date", "place", "ac").join(setups.select("symbol", "session_price", "confluence", "stage2"), "symbol", "left").join(hits, "symbol", "left")
+        return rows.selectExpr("symbol", "date", "place", "coalesce(session_price, ac) AS price", "coalesce(confluence, '') AS confluence", "coalesce(stage2, false) AS stage2", "coalesce(hits, 0) AS trigger_count").selectExpr("*", "stage2 AND trigger_count > 0 AS stage3", f"{READINESS} AS primary_label")
+
 
 _T = ["symbol", "trigger_type", "slot", r6("close"), r6("level"), r6("spike")]
 _S = ["symbol", "place", "candidate", r6("price"), "confluence", "stage2"]
@@ -212,6 +241,8 @@ _P = ["symbol", "total", *(r6(c) for c in ("bin_size", "vwap", "poc", "val", "va
 _B = ["symbol", "slot", "idx", "volume", *(r6(c) for c in ("open", "high", "low", "close"))]
 _M = ["symbol", "date", r6("coalesce(mansfield, -9.0)", "mansfield")]
 _E = ["symbol", r6("coalesce(ema10, -9.0)", "ema10"), r6("coalesce(ema20, -9.0)", "ema20")]
+_R = ["symbol", "date", "place", r6("price"), "confluence", "stage2", "stage3", "trigger_count", "primary_label"]
+_STAGES = ["count(*) AS stage1", "count(CASE WHEN stage2 THEN 1 END) AS stage2", "count(CASE WHEN stage3 THEN 1 END) AS stage3", "CAST(coalesce(sum(trigger_count), 0) AS BIGINT) AS triggers"]
 _1 = ["symbol", "date", "place", "candidate", *(r6(c) for c in STAGE1)]
 QUERIES = {
     "w14_ema": lambda spark, d: ema_last(Market(spark, d).bars).selectExpr(*_E),
@@ -221,6 +252,9 @@ QUERIES = {
     "a16_volume_profile": lambda spark, d: volume_profile(prices_intraday(spark, d, Market(spark, d))).selectExpr(*_P),
     "q25_setups": lambda spark, d: Funnel(spark, d).setups().selectExpr(*_S),
     "q31_triggers": lambda spark, d: Funnel(spark, d).triggers().selectExpr(*_T),
+    "w16_mansfield_sector": lambda spark, d: sector_mansfield(Market(spark, d)).selectExpr("symbol", "date", r6("coalesce(mansfield_sector, -9.0)", "mansfield_sector")),
+    "q23_readiness": lambda spark, d: Funnel(spark, d).readiness().selectExpr(*_R),
+    "q23_stage_counts": lambda spark, d: (lambda f: f.readiness().agg(*(F.expr(x) for x in _STAGES)).crossJoin(F.broadcast(f.stage1.agg(F.count(F.lit(1)).alias("evaluated")))))(Funnel(spark, d)),  # one row each
 }
 ORACLE = {
     "w14_ema": with_(f"SELECT {', '.join(_E)} FROM x_ema"),
@@ -229,5 +263,8 @@ ORACLE = {
     "s02_prices_intraday": with_(f"SELECT {', '.join(_B)} FROM x_ibars"),
     "a16_volume_profile": recursive(f"SELECT {', '.join(_P)} FROM x_profile"),
     "q25_setups": recursive(f"SELECT {', '.join(_S[:4])}, {CONFLUENCE} AS confluence, {PASSES} AS stage2 FROM {_SETUP}"),
+    "w16_mansfield_sector": with_(f"SELECT symbol, date, {r6('coalesce(mansfield_sector, -9.0)', 'mansfield_sector')} FROM x_mansfield_sector"),
+    "q23_readiness": recursive(f", {_SEEN} SELECT {', '.join(_R)} FROM {_READY_SQL}"),
+    "q23_stage_counts": recursive(f", {_SEEN} SELECT {', '.join(_STAGES)}, (SELECT count(*) FROM x_stage1) AS evaluated FROM {_READY_SQL}"),
     "q31_triggers": recursive(f", {_SEEN} SELECT {', '.join(_T)} FROM {_TRIGGERS} WHERE hit"),
 }
