@@ -15,15 +15,14 @@ from tidewheel.sources import adapter, landed
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-ORACLES = ["s01_prices_daily", "w03_relative_volume", "j01_asof_bars", "q01_regime", "q04_sector_scores", "q05_industry_scores", "q06_stock_scores", "q10_actionability", "q14_watchlist_labels", "q16_macro_flags", "q20_backtest", "q21_event_context", "a12_flag_summary", "w14_ema", "q24_stage1", "a16_volume_profile", "q31_triggers", "q37_screener", "q34_doctor"]
-DAY = dt.date(2026, 1, 1)
+DAY = dt.date(2031, 3, 3)
 
 
 def plain(rows):
     return sorted(tuple("~" if v is None or v != v else str(v)[:10] if isinstance(v, dt.date) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("key", ORACLES)
+@pytest.mark.parametrize("key", sorted(registry.oracle_sql()))
 def test_oracle(spark, key):
     con = duckdb.connect()
     for t in TABLES:
@@ -34,19 +33,22 @@ def test_oracle(spark, key):
     assert plain(got.select(*columns).collect()) == plain(want)
 
 
-def daily(spark, symbol, first, rate, n=60, volume=1000.0, last=None):
-    rows, close = [], first
-    for k in range(n):
-        close *= 1 + rate
-        rows.append((symbol, DAY + dt.timedelta(k), close * 0.99, close * 1.03, close * 0.97, close, close, last if last and k == n - 1 else volume))
+def daily(spark, symbol, closes, volumes):
+    rows = [(symbol, DAY + dt.timedelta(k), c, c * 1.02, c * 0.99, c, c, v) for k, (c, v) in enumerate(zip(closes, volumes, strict=True))]
     return spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, ac double, volume double")
 
 
 def test_daily_measures(spark):
-    both = features.bars(daily(spark, "LEAD", 100.0, 0.01, last=3000.0).union(daily(spark, "SPY", 100.0, 0.001)))
-    row = intraday.mansfield(both, intraday.benchmark(both)).filter("symbol = 'LEAD' AND next_date IS NULL").join(intraday.ema_last(both), "symbol").first()
-    assert abs(row.adr20 - 0.06) < 1e-9 and abs(row.rv20 - 3.0) < 1e-9
-    assert row.ema10 > row.ema20 and row.mansfield > 1 and row.atr20 > 0
+    """A line of 1, 2, ... 72 against a flat benchmark: its means can be had by hand."""
+    n = 72
+    line = daily(spark, "LINE", [float(k + 1) for k in range(n)], [400.0] * (n - 1) + [1000.0])
+    both = features.bars(line.union(daily(spark, "SPY", [8.0] * n, [7.0] * n)))
+    row = intraday.mansfield(both, intraday.benchmark(both)).filter("symbol = 'LINE' AND next_date IS NULL").join(intraday.ema_last(both), "symbol").first()
+    assert row.adr20 == pytest.approx(0.03) and row.rv20 == pytest.approx(2.5)
+    assert row.mansfield == pytest.approx(72 / 47.5)  # the mean of 23 to 72
+    assert (row.ema10, row.ema20) == (pytest.approx(72 - 4.5), pytest.approx(72 - 9.5))  # seeded with the mean, a line stays (n - 1) / 2 behind
+    assert (row.ma20, row.ma50, row.high20, row.low10) == (62.5, 47.5, 72.0, 63.0)
+    assert row.r5 == pytest.approx(72 / 67 - 1) and row.trend_state == "above_20d_50d"
 
 
 def test_no_look_ahead(spark):
@@ -66,38 +68,67 @@ def minutes(spark, bars, symbol="S"):
 LEVELS = "symbol string, poc double, val double, vwap double, ema10 double, ema20 double"
 
 
-def test_value_area_grows_upwards_on_ties(spark):
-    bars = minutes(spark, [(p, p, p, v) for p, v in ((100, 50), (101, 100), (102, 50))])
+def test_value_area_takes_the_fuller_side_and_up_on_ties(spark):
+    """From 52 (90) up to 53 (40, as much as 51), then down to 51 (40 against 10): 170 of 210."""
+    bars = minutes(spark, [(p, p, p, v) for p, v in ((50, 30), (51, 40), (52, 90), (53, 40), (54, 10))])
     row = intraday.volume_profile(bars).first()
-    assert abs(row.val - 101) < 0.01 and abs(row.vah - 102) < 0.01 and abs(row.poc - 101) < 0.01 and row.total == 200
+    assert (row.poc, row.val, row.vah, row.total) == (pytest.approx(52, abs=0.03), pytest.approx(51, abs=0.03), pytest.approx(53, abs=0.03), 210)
+    assert row.vwap == pytest.approx((50 * 30 + 51 * 40 + 52 * 90 + 53 * 40 + 54 * 10) / 210)
+
+
+FLAT = [(20.0, 19.8, 19.9, 400)] * 6
+QUIET = [(30.05, 29.95, 30.0, 600)] * 3 + [(30.02, 29.98, 30.0, 300), (30.5, 30.0, 30.2, 1500)]
 
 
 def test_triggers(spark):
-    rise = [(10.0, 9.95, 9.98 if k % 2 else 9.99, 100) for k in range(6)] + [(10.8, 10.0, 10.7, 250)]
-    far = spark.createDataFrame([("S", 1.0, 1.0, 1.0, 1.0, 1.0)], LEVELS)
-    assert {r.trigger_type for r in intraday.triggers(minutes(spark, rise), far).collect()} == {"orb_breakout", "hod_break"}
-    dry = [(10.02, 9.98, 10.0, 100)] * 3 + [(10.01, 9.99, 10.0, 50), (10.18, 10.02, 10.15, 220)]
-    near = spark.createDataFrame([("S", 10.0, 10.0, 10.0, 10.0, 10.0)], LEVELS)
-    assert {"volume_dryup_confirmation", "micro_cluster_break"} <= {r.trigger_type for r in intraday.triggers(minutes(spark, dry), near).collect()}
-    still = [(10.0, 9.9, 9.95, 0)] * 6 + [(10.8, 10.0, 10.7, 250)]
-    assert intraday.triggers(minutes(spark, still), far).count() == 0  # a mean volume of zero ends the search
+    at = lambda x: spark.createDataFrame([("S", x, x, x, x, x)], LEVELS)
+    kinds = lambda bars, x: {r.trigger_type for r in intraday.triggers(minutes(spark, bars), at(x)).collect()}
+    assert kinds([*FLAT, (21.0, 20.0, 20.9, 900)], 3.0) == {"orb_breakout", "hod_break"}
+    assert kinds([*FLAT, (21.0, 20.0, 20.9, 590)], 3.0) == set()  # 1.475 times the mean volume
+    assert {"volume_dryup_confirmation", "micro_cluster_break"} <= kinds(QUIET, 30.0)
+    assert kinds([(h, lo, c, 0) for h, lo, c, _ in FLAT] + [(21.0, 20.0, 20.9, 900)], 3.0) == set()  # a mean volume of zero ends the search
+
+
+def test_readiness(spark):
+    """Of four candidates one is ready, one is set up without a trigger, one has no confluence, one no session."""
+    quiet = minutes(spark, QUIET, "READY").union(minutes(spark, [(30.0, 30.0, 30.0, 600)] * 5, "SETUP")).union(minutes(spark, QUIET, "FAR"))
+    rows = [("READY", 30.3, 30.2), ("SETUP", 30.01, 30.0), ("FAR", 90.0, 80.0), ("NONE", 5.0, 4.0), ("OUT", 30.3, 30.2)]
+    funnel = intraday.Funnel.__new__(intraday.Funnel)
+    funnel.bars = quiet.withColumn("ac", F.lit(30.0))
+    funnel.stage1 = spark.createDataFrame([(s, DAY, 31.0, a, b, k, s != "OUT") for k, (s, a, b) in enumerate(rows)], "symbol string, date date, ac double, ema10 double, ema20 double, place int, candidate boolean")
+    got = {r.symbol: r for r in funnel.readiness().collect()}
+    assert {k: r.primary_label for k, r in got.items()} == {"READY": "intraday_execution_ready", "SETUP": "structural_pullback_setup", "FAR": "high_momentum_universe", "NONE": "high_momentum_universe"}
+    assert got["READY"].trigger_count > 0 == got["SETUP"].trigger_count and got["NONE"].price == 31.0 and got["NONE"].confluence == ""
 
 
 def test_parsers(spark):
-    requested = spark.createDataFrame([("MSFT",)], "symbol string")
-    lines = spark.createDataFrame([("symbol,name,reportDate,fiscalDateEnding,estimate,currency",), (" msft ,Microsoft,2026-06-12,2026-03-31,2.18,USD",), ("AMD,x,2026-06-08,2026-03-31,1,USD",), ("MSFT,x,never,,,",)], "value string")
-    assert [(r.symbol, str(r.date), r.estimate) for r in landed.earnings(lines, requested).collect()] == [("MSFT", "2026-06-12", 2.18)]
-    filing = '{"filings": {"recent": {"form": ["8-K", "10-Q", "4"], "filingDate": ["2026-05-27", "2026-05-20", "2026-05-27"], "accessionNumber": ["0000789019-26-000101", "b-1", "c"], "primaryDocument": ["a.htm", "b.htm", "c.htm"]}}}'
-    found = landed.filings(spark.createDataFrame([("MSFT", 789019, filing)], "symbol string, cik long, json string"), "2026-05-28").collect()
-    assert len(found) == 2 and found[0].source_event_id == "submissions:0000789019:0000789019-26-000101" and found[0].url.endswith("/789019/000078901926000101/a.htm")
-    macro = spark.createDataFrame([("VIXCLS", '{"observations": [{"date": "2026-01-01", "value": "18.44"}, {"date": "2026-01-02", "value": "."}]}')], "series string, json string")
-    assert [r.value for r in landed.observations(macro).collect()] == [18.44]
-    bars = spark.createDataFrame([('{"bars": {"SPY": [{"t": "2026-01-02T05:00:00Z", "o": 1, "h": 2, "l": 0.5, "c": 1.5, "v": 10, "vw": 1.2}]}}',)], "json string")
-    assert landed.bars(bars).first().ac == 1.5 and landed.intraday(bars, "2026-01-03").count() == 0
-    page = "<table><tr><th>Symbol</th></tr><tr><td> A </td><td>Agilent\n Inc</td><td>Information Technology</td><td>Tools</td></tr></table><a href='?v=1&r=21'></a><a href='?v=1&r=41'></a>"
+    requested = spark.createDataFrame([("ORCA",)], "symbol string")
+    lines = spark.createDataFrame([("symbol,name,reportDate,fiscalDateEnding,estimate,currency",), (" orca ,Orca Boats,2031-05-02,2031-03-31,0.71,EUR",), ("TERN,y,2031-05-09,2031-03-31,4,EUR",), ("ORCA,y,soon,,,",)], "value string")
+    assert [(r.symbol, str(r.date), r.estimate) for r in landed.earnings(lines, requested).collect()] == [("ORCA", "2031-05-02", 0.71)]
+    filing = '{"filings": {"recent": {"form": ["10-K", "4", "8-K"], "filingDate": ["2031-02-10", "2031-02-11", "2031-02-11"], "accessionNumber": ["0000000042-31-000007", "x", "0000000042-31-000008"], "primaryDocument": ["k.htm", "x.htm", "e.htm"]}}}'
+    found = landed.filings(spark.createDataFrame([("ORCA", 42, filing)], "symbol string, cik long, json string"), "2031-02-12").collect()
+    assert [r.source_event_id for r in found] == ["submissions:0000000042:0000000042-31-000007", "submissions:0000000042:0000000042-31-000008"] and found[0].url.endswith("/42/000000004231000007/k.htm")
+    macro = spark.createDataFrame([("RAIN", '{"observations": [{"date": "2031-02-01", "value": "."}, {"date": "2031-02-02", "value": "-3.5"}]}')], "series string, json string")
+    assert [r.value for r in landed.observations(macro).collect()] == [-3.5]
+    bars = spark.createDataFrame([('{"bars": {"ORCA": [{"t": "2031-02-03T05:00:00Z", "o": 7, "h": 9, "l": 6, "c": 8, "v": 3, "vw": 7.5}]}}',)], "json string")
+    assert landed.bars(bars).first().ac == 8.0 and landed.intraday(bars, "2031-02-03").count() == 1 and landed.intraday(bars, "2031-02-04").count() == 0
+    page = "<table><tr><th>Symbol</th></tr><tr><td> ORCA </td><td>Orca\n Boats</td><td>Information Technology</td><td>Hulls</td></tr></table><a href='?v=1&r=21'></a><a href='?v=1&r=61'></a>"
     pages = spark.createDataFrame([(1, page), (2, None)], "id long, html string")
-    assert [tuple(r) for r in landed.members(pages, "id").collect()] == [("A", "Agilent Inc", "Technology", "Tools")]
-    assert [r[0] for r in pages.orderBy("id").select(landed.page_count("html")).collect()] == [3, 1]
+    assert [tuple(r) for r in landed.members(pages, "id").collect()] == [("ORCA", "Orca Boats", "Technology", "Hulls")]
+    assert [r[0] for r in pages.orderBy("id").select(landed.page_count("html")).collect()] == [4, 1]
+
+
+@pytest.mark.parametrize("key", ["q10_actionability", "q14_watchlist_labels", "q20_backtest", "q21_event_context", "q22_actionability"])
+def test_plans_read_stored_tables(spark, key):
+    plan = registry.queries()[key](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and plan.count("Relation") < 20
+
+
+def test_upsert_keeps_the_last_row_of_a_key(spark):
+    old = spark.createDataFrame([("a", "1", "old"), ("b", "2", "stays")], "source string, source_event_id string, headline string")
+    new = spark.createDataFrame([("a", "1", "z first", 1), ("a", "1", "a second", 2), ("c", "", "no id", 3)], "source string, source_event_id string, headline string, seq int")
+    got = store.upsert(old, new, store.KEYS["events"], order="seq").collect()
+    assert sorted((r.source, r.headline) for r in got) == [("a", "a second"), ("b", "stays")]
 
 
 def test_store(spark, tmp_path):
