@@ -15,3 +15,29 @@ def test_verdicts(spark):
     assert [of[k] for k in range(len(rows))] == [["live"]] * len(live) + [["example"]] * len(examples)
     redacted = S.redact(spark.createDataFrame(rows[3:4], "doc_id long, text string, source string, lang string")).first()
     assert redacted.text == "use [SECRET] here"
+
+
+def test_verdicts_and_redacted_texts(spark):
+    """A token of one owner goes; one of three owners, or of many repositories of two, stays; nulls, ties and repeats are kept apart."""
+    live, copied, widely = "Zq8Lr2Vt9Xw4Kp6M", "aB3dE5fG7hJ9kL1m", "nP2rS4tV6xY8zA0c"
+    rows = [(1, f"x token={live} y secret: {live}", "s1", "en"), (None, f"token={copied}", "s2", "en"), (2, f"token={copied}", "s1", "en"), (3, f"token={copied}", "s3", "en"), (4, None, "s1", None), (5, "", None, "en")]
+    rows += [(10 + k, f"é token={widely}", f"s{k % 2}", f"l{k}") for k in range(6)]
+    rows += [(None, "x", None, None), (20, f"AKIA{'Q7W2E9R4T6Y1U3I8'} token=changeme123", "s1", "en"), (1, f"x token={live} y secret: {live}", "s1", "en")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, lang string, __key int")
+    out = S.redact(df)
+    assert out.columns == df.columns
+    got = {r["__key"]: r.text for r in out.collect()}
+    want = {k: r[1] for k, r in enumerate(rows)}
+    want[0] = want[len(rows) - 1] = "x [SECRET] y [SECRET]"
+    want[len(rows) - 2] = "[SECRET] token=changeme123"
+    assert got == want
+    assert S.redact(df.limit(0)).count() == 0
+
+
+def test_long_and_overlapping_values(spark):
+    from tidewheel.llm.secrets import find
+
+    password = "p" * 5000 + "9"
+    spans = find(f"see ftp://{'u' * 300}:{password}@host and -----BEGIN VERY LONG KIND OF RSA PRIVATE KEY-----\nabc\n-----END VERY LONG KIND OF RSA PRIVATE KEY-----")
+    assert [(k, v) for k, _, _, v in spans if k == "url"] == [("url", password)]
+    assert sum(k == "private_key" for k, *_ in spans) == 1

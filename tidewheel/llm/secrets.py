@@ -1,10 +1,14 @@
 """Operator 7: secrets, told apart by how widely the corpus owns them.
 
 Texts are scanned once. Each candidate's hash is then counted by distinct
-repository and distinct owner over the whole corpus: a value that many owners
-have is a copied example, one that a single owner has and that looks random is
-taken as live. Rows of one hash are reduced to distinct owners before they meet,
-so a value that a third of the corpus repeats costs no more than another.
+repository and distinct owner over the whole corpus. A value that common_owners
+or more have, or common_repositories or more hold, is a copied example; one of
+few owners that looks random is taken as live, unless it spells out that it is a
+placeholder.
+
+Rows of one hash are reduced to distinct owners before they meet. Counts go back
+to the spans by a join salted with the row: each count is repeated SALTS times,
+so a value that a third of the corpus repeats is spread over as many tasks.
 
 Base kinds (assign, access, hex) keep every span. The method adds kinds for
 private keys, provider tokens, web tokens and credentials in URLs.
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table
+from .common import materialise, slices, spare, table, thrifty
 
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,16 +40,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 #: kind, a literal that every match contains, pattern, the group that holds the value
 ADDED = (
-    ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"), 0),
+    ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"), 0),
     ("provider", "_", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,})"), 0),
     ("provider", "xox", re.compile(r"\bxox[abprs][-_][A-Za-z0-9-]{10,}"), 0),
     ("web_token", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0),
-    ("url", "://", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,128})@"), 1),
+    ("url", "://", re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]+://[^\s:/@]+:([^\s:/@]{3,})@"), 1),
 )
 KIND_ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *(x[0] for x in ADDED)))}
 #: Words count only between non-letters: "latest" and "Contest" are no placeholders.
 PLACEHOLDER = re.compile(r"(?<![a-z])(?:example|sample|changeme|your|dummy|test|placeholder|\d?1234567\d*)(?![a-z])|xxxx|\*\*\*\*|(.)\1{5}", re.I)
 
+SALTS = 32
 SPAN = "struct<kind:string,kind_order:int,begin:int,end:int,value_hash:string,entropy:double,placeholder:boolean>"
 
 
@@ -91,7 +96,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, arrow)], [*keep, "found"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(thrifty(run), schema)
 
 
 def ownership(found: DataFrame, *, repository, owner) -> DataFrame:
@@ -109,21 +114,26 @@ def classify(
     repository=None,
     owner=None,
     common_owners: int = 3,
+    common_repositories: int = 6,
     least_entropy: float = 2.5,
 ) -> DataFrame:
     """Every row's spans with a verdict: the kept columns, `row_no`, and `found` with n_owners and verdict.
 
-    verdict: `example` if common_owners or more owners hold the value or it reads
-    as a placeholder; else `live` if its entropy is least_entropy or more; else
-    `weak`. owner and repository default to the source, and to source with language.
+    verdict: `example` if common_owners or more owners or common_repositories or
+    more repositories hold the value, or if it reads as a placeholder; else `live`
+    if its entropy is least_entropy or more; else `weak`. owner and repository
+    default to the source, and to source with language.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
     found = materialise(scan(docs, text=text, keep=keep).withColumn("row_no", F.monotonically_increasing_id()), "secrets")
     counts = ownership(found, repository=repository, owner=owner)
-    spans = found.select("row_no", F.explode("found").alias("s")).select("row_no", "s.*")
-    verdict = F.when((F.col("n_owners") >= common_owners) | F.col("placeholder"), "example").when((F.col("entropy") >= least_entropy) | (F.col("kind") == "private_key"), "live").otherwise("weak")
-    judged = spans.join(counts, "value_hash").withColumn("verdict", verdict)
+    salt = F.pmod(F.col("row_no"), F.lit(SALTS))
+    spans = found.select("row_no", salt.alias("salt"), F.explode("found").alias("s")).select("row_no", "salt", "s.*")
+    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    common = (F.col("n_owners") >= common_owners) | (F.col("n_repositories") >= common_repositories)
+    verdict = F.when(common | F.col("placeholder"), "example").when((F.col("entropy") >= least_entropy) | (F.col("kind") == "private_key"), "live").otherwise("weak")
+    judged = spans.join(spread, ["value_hash", "salt"]).withColumn("verdict", verdict)
     again = judged.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("begin", "kind_order", "end", "kind", "value_hash", "entropy", "n_repositories", "n_owners", "verdict"))).alias("spans"))
     return found.drop("found").join(again, "row_no", "left").withColumn("spans", F.coalesce("spans", F.array().cast(again.schema["spans"].dataType)))
 
@@ -147,13 +157,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, *, text: str = "text", key: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span that classify() calls live replaced by `mark`; rows and columns stay.
 
-    Only spans of live values travel, by key and hash of the text, so that rows
-    which repeat a key, or have none, still get their own.
+    Only spans of live values travel, by 128 bits of key and text with null marks,
+    so that rows which repeat a key, or have none, still get their own. A null text
+    stays null.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(key).cast("string"), text))
-    judged = classify(keyed, text=text, keep=("__key", "source", "lang"))
-    live = judged.select("__key", F.transform(F.filter("spans", lambda s: s["verdict"] == "live"), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias("__live"))
-    live = live.filter(F.size("__live") > 0).dropDuplicates(["__key"])
+    name, live, done_ = spare(docs, "__key"), spare(docs, "__live"), spare(docs, "__done")
+    parts = [x for c in (F.col(key).cast("string"), F.col(text)) for x in (c.isNull(), c)]
+    keyed = docs.withColumn(name, F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b")))
+    judged = classify(keyed, text=text, keep=(name, "source", "lang"))
+    spans = judged.select(name, F.transform(F.filter("spans", lambda s: s["verdict"] == "live"), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias(live))
+    spans = spans.filter(F.size(live) > 0).dropDuplicates([name])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done, span):
@@ -162,10 +175,9 @@ def redact(docs: DataFrame, *, text: str = "text", key: str = "doc_id", mark: st
             F.struct(F.greatest(done["at"], span["end"]).alias("at"), done["out"].alias("out"))
         )
 
-    done = F.aggregate("__live", start, step)
-    joined = keyed.join(live, "__key", "left").withColumn("__done", done)
-    rest = F.col(text).substr(F.col("__done.at") + 1, F.length(text))
-    return joined.select(*(F.when(F.col("__live").isNull(), F.col(text)).otherwise(F.concat("__done.out", rest)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    joined = keyed.join(spans, name, "left").withColumn(done_, F.aggregate(live, start, step))
+    rest = F.col(text).substr(F.col(f"{done_}.at") + 1, F.length(text))
+    return joined.select(*(F.when(F.col(live).isNull(), F.col(text)).otherwise(F.concat(f"{done_}.out", rest)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
 QUERIES = {"op7_secret_scan": op7_secret_scan}
