@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, slices, table
+from .common import arrow_column, pieces, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Stretches whose encoding a worker keeps, in each of two generations: when the newer one is
 #: full it becomes the older one, and what is used again moves up.
-MEMO = 150_000
+MEMO = 60_000
 
 #: Fixed value: the pre-token pattern of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -134,7 +134,7 @@ class ByteBPE:
                 bound, a = left, parts[a][1]
             else:  # of equal ranks the left one merges first, so the right one is the later
                 bound, b = right + 1, parts[b][0]
-        if len(self.pairs) > 300_000:
+        if len(self.pairs) > 150_000:
             self.pairs.clear()
         self.pairs[key] = fits
         return fits
@@ -255,9 +255,8 @@ def encode_decode(docs: DataFrame, path: str, *, text: str = "text", into: str =
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for column in columns:
-            parts = [coded(bpe, part.column(0)) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t")]
-            yield pa.concat_arrays(parts) if parts else coded(bpe, column)
+        for texts in pieces(columns):
+            yield coded(bpe, texts)
 
     return docs.withColumn(into, arrow_column(run, CODED)(F.col(text)))
 

@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; a local one is taken only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.sparkContext._conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "/tmp/checkpoints"
     return found.rstrip("/")
 
 
@@ -128,6 +130,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             begin = end
 
 
+def pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Columns of texts cut like slices(): results leave piece by piece, so no task holds those of a whole batch."""
+    for column in columns:
+        for part in slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t"):
+            yield part.column(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

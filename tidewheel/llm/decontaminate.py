@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, byte_class, mix, slices, spare, table, utf8, words
+from .common import arrow_column, byte_class, mix, pieces, spare, table, utf8, words
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -196,9 +196,8 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WIN
     blocks = blocks_of(benchmark, window, item, item_text)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            parts = [found_in(part.column(0), [x.value for x in blocks]) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t")]
-            yield pa.concat_arrays(parts) if parts else found_in(column, [])
+        for texts in pieces(columns):
+            yield found_in(texts, [x.value for x in blocks])
 
     return docs.withColumn(into, arrow_column(run, RESULT)(F.col(text)))
 

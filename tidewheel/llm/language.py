@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WINDOW_BYTES, arrow_column, hash_pieces, mix, slices, table, thrifty, utf8
+from .common import WINDOW_BYTES, arrow_column, hash_pieces, mix, pieces, slices, table, thrifty, utf8
 
 MAX_DOCS = 3000
 TABLE = 1 << 16
@@ -365,9 +365,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", into: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            parts = [spans_of(shared.value, part.column(0), penalty) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t")]
-            yield pa.concat_arrays(parts) if parts else spans_of(shared.value, column, penalty)
+        for texts in pieces(columns):
+            yield spans_of(shared.value, texts, penalty)
 
     return docs.withColumn(into, arrow_column(run, FOUND)(F.col(text)))
 
