@@ -9,27 +9,29 @@ the shard, word by word, all suffixes at a time; what is left after a window's
 words is the range of its verbatim occurrences. Neighbouring windows on one
 diagonal join into the longest matches.
 
-The benchmark is the query set. It is read in blocks of bounded bytes, each
-broadcast; a shard meets one block at a time. Documents are never shuffled.
+The benchmark is the query set. Tasks build it in blocks of about BLOCK_BYTES of
+text and write each block's arrays to the shared folder; workers map them, and a
+shard meets one block at a time. The driver sees one row a block and nothing is
+broadcast. Documents are never shuffled.
 
 Defined cases: null and word-free texts have no words and no matches; an item of
 fewer words than a window is one window, one without words never matches; equal
-items are each reported; null or repeated doc_id values are carried through, one
+texts are each reported under their item_id, repeated rows of an item once; null or repeated doc_id values are carried through, one
 result per input row; a null item_id is ignored; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, byte_class, mix, pieces, spare, table, utf8, words
+from .common import arrow_column, byte_class, mapped, mix, new_path, pieces, put, spare, table, utf8, words
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -41,9 +43,12 @@ class TestSuffixes:
     """A block of items: vocabulary, ids, and the windows with the items that hold them."""
 
     __test__ = False
+    KINDS = {"vocabulary": "<u8", "grid": "<i4", "sizes": "<i8", "item": "<i8", "offset": "<i8", "order": "<i8", "holders": "<i8", "bitmap": "?", "names": "u1", "name_at": "<i8"}
 
     def __init__(self, items: list[str], texts: list[str], window: int):
-        self.items = items
+        encoded = [x.encode() for x in items]
+        self.names = np.frombuffer(b"".join(encoded), np.uint8)
+        self.name_at = np.cumsum([0, *map(len, encoded)])
         data, at = utf8(pa.array(texts, pa.string()))
         w, first = words(data, at, _ALNUM)
         self.vocabulary = np.unique(w)
@@ -66,12 +71,30 @@ class TestSuffixes:
         self.order = np.argsort(self.window_of, kind="stable")
         self.holders = np.searchsorted(self.window_of[self.order], np.arange(len(self.grid) + 1))
         self.sizes = (self.grid > 0).sum(axis=1)
+        self.grid = self.grid.astype(np.int32)
         #: the first words that every candidate suffix must share with some window
         self.lead = int(min(3, self.sizes.min())) if len(self.grid) else 0
         self.bitmap = np.zeros(1 << _FILTER_BITS, bool)
         if self.lead:
             self.bitmap[lead_hash([self.grid[:, k] for k in range(self.lead)])] = True
 
+    def save(self, folder: str, name: str) -> None:
+        for part, kind in self.KINDS.items():
+            put(folder, f"{name}.{part}", getattr(self, part).astype(kind))
+
+    @classmethod
+    def load(cls, folder: str, name: str, window: int, depth: int, lead: int) -> TestSuffixes:
+        """A saved block; its arrays are mapped files."""
+        self = cls.__new__(cls)
+        for part, kind in cls.KINDS.items():
+            setattr(self, part, np.asarray(mapped(folder, f"{name}.{part}", kind)))
+        self.grid = self.grid.reshape(-1, window)
+        self.depth, self.lead = depth, lead
+        return self
+
+    def item_name(self, k: int) -> str:
+        return self.names[self.name_at[k] : self.name_at[k + 1]].tobytes().decode()
+
 
 def lead_hash(columns: list[np.ndarray]) -> np.ndarray:
     h = np.zeros(len(columns[0]), np.uint64)
@@ -170,18 +193,26 @@ def match_shard(w: np.ndarray, first: np.ndarray, tests: TestSuffixes) -> tuple[
     return doc, where - doc, np.repeat(window, many)
 
 
-def blocks_of(benchmark: DataFrame, window: int, item: str, text: str) -> list:
-    """Broadcast blocks of the benchmark, each of about BLOCK_BYTES of text."""
-    spark = benchmark.sparkSession
+def blocks_of(benchmark: DataFrame, window: int, item: str, text: str) -> tuple[str, list[tuple]]:
+    """(folder, [(name, depth, lead)]): the benchmark's blocks, built and written by tasks.
+
+    A block is a hash bucket of distinct items, so no bucket is hot; a retried
+    task writes under a new name, and only names that a task returned are read.
+    """
+    folder = new_path(benchmark.sparkSession, "benchmark")
     items = benchmark.filter(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
-    out = []
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        rows = part.orderBy("item", "text").collect()
-        out.append(spark.sparkContext.broadcast(TestSuffixes([r[0] for r in rows], [r[1] for r in rows], window)))
-    return out
+
+    def build(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("item", "ascending"), ("text", "ascending")])
+        block, name = TestSuffixes(rows["item"].to_pylist(), rows["text"].to_pylist(), window), uuid.uuid4().hex
+        block.save(folder, name)
+        return pa.table({"name": [name], "depth": pa.array([block.depth], pa.int32()), "lead": pa.array([block.lead], pa.int32())})
+
+    parts = items.distinct().withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    made = parts.groupBy("block").applyInArrow(build, "name string, depth int, lead int")
+    return folder, [tuple(r) for r in made.collect()]
 
 
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,matches:array<struct<item:string,doc_word:int,item_word:int,n_words:int>>>"
@@ -193,16 +224,16 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WIN
     matches: item, first word in the document and in the item, and how many words agree.
     Only texts go to Python.
     """
-    blocks = blocks_of(benchmark, window, item, item_text)
+    folder, blocks = blocks_of(benchmark, window, item, item_text)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in pieces(columns):
-            yield found_in(texts, [x.value for x in blocks])
+            yield found_in(texts, (TestSuffixes.load(folder, name, window, depth, lead) for name, depth, lead in blocks))
 
     return docs.withColumn(into, arrow_column(run, RESULT)(F.col(text)))
 
 
-def found_in(column: pa.Array, blocks: list[TestSuffixes]) -> pa.Array:
+def found_in(column: pa.Array, blocks: Iterable[TestSuffixes]) -> pa.Array:
     """RESULT of every text of a shard."""
     data, at = utf8(column)
     w, first = words(data, at, _ALNUM)
@@ -243,8 +274,9 @@ def collect(tests: TestSuffixes, doc: np.ndarray, word: np.ndarray, window_id: n
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(doc)) - 1
     for d, i, a, o, n in zip(doc[begin].tolist(), item[begin].tolist(), word[begin].tolist(), offset[begin].tolist(), (word[last] + size[last] - word[begin]).tolist(), strict=True):
-        items.setdefault(d, set()).add(tests.items[i])
-        matches.setdefault(d, []).append({"item": tests.items[i], "doc_word": a, "item_word": o, "n_words": n})
+        name = tests.item_name(i)
+        items.setdefault(d, set()).add(name)
+        matches.setdefault(d, []).append({"item": name, "doc_word": a, "item_word": o, "n_words": n})
 
 
 def contaminated(found: str = "verbatim"):

@@ -28,7 +28,6 @@ with A-Z in lower case.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_class, file_system, materialise, mix, new_path, slices, table, utf8, words
+from .common import byte_class, mapped, materialise, mix, new_path, put, slices, table, utf8, words
 
 ORDER = 2
 #: Order of the query's model.
@@ -55,37 +54,6 @@ UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 # ---- arrays in the shared folder ------------------------------------------------
 
 
-def put(folder: str, name: str, array: np.ndarray) -> None:
-    fs, path = file_system(folder)
-    fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/{name}") as f:
-        f.write(np.ascontiguousarray(array).tobytes())
-
-
-_maps: dict[tuple[str, str], np.ndarray] = {}
-
-
-def mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    """A file of the shared folder as a mapped array."""
-    if (folder, name) not in _maps:
-        from pyarrow import fs as pafs
-
-        fs, path = file_system(folder)
-        local = f"{path}/{name}"
-        if not isinstance(fs, pafs.LocalFileSystem):
-            import tempfile
-
-            local = os.path.join(tempfile.gettempdir(), f"{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}-{name}")
-            if not os.path.exists(local):
-                part = f"{local}.{uuid.uuid4().hex}"
-                pafs.copy_files(f"{path}/{name}", part, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-                os.replace(part, local)
-        if len(_maps) > 50_000:
-            _maps.clear()
-        _maps[folder, name] = np.memmap(local, kind, mode="r") if os.path.getsize(local) else np.zeros(0, kind)
-    return _maps[folder, name]
-
-
 def bucket_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Range partition of uniform hashes: order is kept."""
     return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
