@@ -6,11 +6,11 @@ tokenizer version a batch is a few rows, whatever the size of the corpus behind
 it, and a third of all rows in one source meets as partial sums.
 
 A store is a folder with one sub-folder for each committed batch. Committing
-writes the batch's sums under its own name and then its _SUCCESS mark; a batch
-that has its mark is not written again, and one that failed before it is
-overwritten by the retry, so committing twice, or a lost executor, changes
-nothing. Totals are the sums over marked batches; compact() folds them into one
-batch that lists what it holds.
+writes the batch's sums into an attempt folder of its own and then renames that
+to the batch's name. The first rename wins, and what a later writer renames is
+never read, so committing twice, two writers at once, or a lost executor change
+nothing; attempts that never came to their rename are not seen. Totals are the sums over marked batches; compact() folds them into one
+batch that lists what it holds; it is run by one writer at a time.
 
 Defined cases: null text has no tokens; null source or language is a group of
 its own; repeated rows count each; a delete or revision of something unknown is
@@ -19,6 +19,8 @@ the caller's signed count like any other; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,14 +102,26 @@ class RollupStore:
         """Write a batch's sums once; False if it was committed before."""
         if self.known(batch):
             return False
-        folder = f"{self.path}/batch={batch}"
-        sums.select(*GROUP, "d_docs", "d_tokens").write.mode("overwrite").parquet(f"{folder}/sums")
-        self._mark(folder)
-        return True
+        return self._publish(f"batch={batch}", {"sums": sums.select(*GROUP, "d_docs", "d_tokens")})
+
+    def _publish(self, name: str, parts: dict[str, DataFrame]) -> bool:
+        """Write an attempt, then rename it; True if this attempt became `name`.
 
-    def _mark(self, folder: str) -> None:
+        A rename onto a folder that is there fails or lands inside it, by file
+        system, so the winner is told by its own mark.
+        """
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        for part, rows in parts.items():
+            rows.write.parquet(f"{self.path}/{attempt}/{part}")
         fs, path = self._file_system()
-        fs.create(path(f"{folder}/_SUCCESS"), True).close()
+        for mark in (attempt, "_SUCCESS"):
+            fs.create(path(f"{self.path}/{attempt}/{mark}"), True).close()
+        fs.rename(path(f"{self.path}/{attempt}"), path(f"{self.path}/{name}"))
+        if self._exists(name, attempt, "_SUCCESS") or not self._exists(name, attempt):
+            for left in (f"{name}/{attempt}", attempt):
+                fs.delete(path(f"{self.path}/{left}"), True)
+            return False
+        return True
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) over all committed batches."""
@@ -118,11 +132,10 @@ class RollupStore:
     def compact(self, name: str) -> None:
         """Fold all committed batches into one; the old folders stay until they are removed."""
         held = self.batches()
-        folder = f"{self.path}/batch=compacted-{name}"
         everything = {n for c in held for n in [c, *(self._held(c) if c.startswith("batch=compacted-") else [])]}
-        self.totals().select(*GROUP, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/sums")
-        self.spark.createDataFrame([(n,) for n in sorted(everything)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/held")
-        self._mark(folder)
+        sums = self.totals().select(*GROUP, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
+        names = self.spark.createDataFrame([(n,) for n in sorted(everything)], "name string")
+        self._publish(f"batch=compacted-{name}", {"sums": sums.coalesce(1), "held": names.coalesce(1)})
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
