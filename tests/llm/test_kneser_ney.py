@@ -65,7 +65,7 @@ def texts(seed=5):
     return [" ".join(rng.choice(vocabulary, int(rng.integers(0, 40)), p=np.arange(30, 0, -1) / 465)) for _ in range(60)] + [None, "", "w1\tw2\nw3  W4", "w1 w2 w3 w4"]
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [2, 3, 4])
 def test_scores_equal_a_plain_model(spark, order):
     rows = texts()
     train = spark.createDataFrame([(k, t, 0.0) for k, t in enumerate(rows)], SCHEMA)
@@ -90,6 +90,30 @@ def test_probabilities_sum_to_one(spark):
         assert p.sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("most", [200, 60_000, 1 << 20, 1 << 40])
+def test_counts_of_any_width_survive_blocks(most):
+    columns = [np.array([3, 3, 9], np.uint32), np.array([4, 7, 2], np.uint32)]
+    got, counts = K.unpack(K.pack(columns, np.array([1, most, 5])))
+    assert [c.tolist() for c in got] == [c.tolist() for c in columns] and counts.tolist() == [1, most, 5]
+
+
+def test_contexts_seen_more_than_two_to_the_32_times(spark, tmp_path):
+    """One partition's blocks with a count of 2^33: stored totals and followers still give a whole distribution."""
+    columns = [np.array([5, 5, 5], np.uint32), np.array([2, 6, 7], np.uint32)]
+    block = K.pack(columns, np.array([1, 1 << 33, 3]))
+    blocks = spark.createDataFrame([(0, bytearray(block))], "p int, block binary")
+    levels = {}
+    for n in (2, 1):
+        stored = blocks.groupBy("p").applyInArrow(K._keep_grams(str(tmp_path), n, 1), K.STATS).cache()
+        levels[n] = K._level(str(tmp_path), stored, n, 1)
+        blocks = stored.filter("block is not null").select("p", "block")
+    model = K.Model(2, 1, K.Arrays(str(tmp_path), [None]), np.zeros(1, np.int64), 1, 10, 6, levels)
+    everything = np.array([0, 2, 3, 4, 5, 6, 7], np.uint32)
+    p = model.probabilities([np.full(7, 5, np.uint32), everything])
+    assert levels[2].total == (1 << 33) + 4
+    assert p.sum() == pytest.approx(1.0) and p[5] > 0.999999
+
+
 def test_empty_training_and_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     model = K.train(none)

@@ -5,7 +5,7 @@ compressed block of (ids, count); a partition is a range of hashes of the
 context, so a frequent word is spread over its followers' contexts only as far
 as its own count needs, and blocks of one context meet in one task as sums. The
 partition writes its n-grams and contexts as sorted arrays of 64-bit hashes with
-counts beside them, and passes on each n-gram without its first word, once, which
+counts beside them (of as many bytes as the largest needs, up to 8), and passes on each n-gram without its first word, once, which
 gives the continuation counts of the order below. Words become ids through the
 vocabulary, which is such an array too.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,12 @@ UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 # ---- arrays in the shared folder ------------------------------------------------
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers in the fewest of 1, 2, 4 or 8 bytes that hold all of them; readers tell the width by the size."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w))
+
+
 def bucket_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Range partition of uniform hashes: order is kept."""
     return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
@@ -65,7 +71,6 @@ class Arrays:
 
     folder: str
     names: list[str | None]
-    kinds: dict[str, str] = field(default_factory=dict)
 
     def find(self, bucket: np.ndarray, keys: np.ndarray, *values: str) -> list[np.ndarray]:
         """The place of each key in its bucket (-1 if absent), then its values (0 if absent)."""
@@ -86,7 +91,8 @@ class Arrays:
             to, at = order[lo:hi][hit], at[hit]
             out[0][to] = at
             for v, name_of in enumerate(values):
-                out[v + 1][to] = mapped(self.folder, f"{name}.{name_of}", self.kinds[name_of])[at]
+                raw = mapped(self.folder, f"{name}.{name_of}", "u1")
+                out[v + 1][to] = raw.view(f"<u{len(raw) // len(have)}")[at]
         return out
 
 
@@ -100,16 +106,17 @@ def shuffle_bytes(a: np.ndarray) -> bytes:
 def pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     """Rows sorted by columns, with counts; each column's bytes lie by significance, the first as steps."""
     steps = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    body = [shuffle_bytes(steps), *(shuffle_bytes(c) for c in columns[1:]), shuffle_bytes(counts.astype("<u4"))]
+    body = [shuffle_bytes(steps), *(shuffle_bytes(c) for c in columns[1:]), shuffle_bytes(narrow(counts))]
     return np.array([len(counts), len(columns)], "<u4").tobytes() + zstandard.compress(b"".join(body), 1)
 
 
 def unpack(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     n, m = np.frombuffer(data, "<u4", 2).tolist()
-    body = np.frombuffer(zstandard.decompress(data[8:]), np.uint8).reshape(m + 1, 4, n)
-    columns = [np.ascontiguousarray(x.T).view("<u4").reshape(-1) for x in body]
+    body = np.frombuffer(zstandard.decompress(data[8:]), np.uint8)
+    columns = [np.ascontiguousarray(x.T).view("<u4").reshape(-1) for x in body[: 4 * m * n].reshape(m, 4, n)]
     columns[0] = np.cumsum(columns[0], dtype=np.uint32)
-    return columns[:m], columns[m]
+    rest = body[4 * m * n :].reshape(-1, n)
+    return columns, np.ascontiguousarray(rest.T).view(f"<u{len(rest)}").reshape(-1)
 
 
 def sum_rows(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -222,7 +229,6 @@ class Model:
         return p
 
 
-KINDS = {"count": "<u4", "total": "<u8", "n1": "<u4", "n2": "<u4", "n3": "<u4"}
 STATS = "p int, block binary, level int, file string, entries long, total long, k1 long, k2 long, k3 long, k4 long, k3p long"
 
 
@@ -280,7 +286,7 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, parts: int
         counts = np.bincount(back, weights=np.concatenate(c), minlength=len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
         name = f"words-{p:06d}-{uuid.uuid4().hex}"
         put(folder, f"{name}.hash", keys)
-        put(folder, f"{name}.count", counts.astype("<u8"))
+        put(folder, f"{name}.count", narrow(counts))
         n_docs = sum(x for x in group.column("docs").to_pylist())
         return _stats_table([(p, None, 0, name, len(keys), int(counts.sum()), n_docs, 0, 0, 0, 0)])
 
@@ -291,7 +297,9 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, parts: int
         names[r.p], sizes[r.p] = r.file, r.entries
         tokens += r.total
         n_docs += r.k1
-    vocabulary = Arrays(folder, names, {"count": "<u8"})
+    if sizes.sum() + FIRST > 1 << 32:
+        raise ValueError(f"{sizes.sum()} distinct words: ids are of 32 bits")
+    vocabulary = Arrays(folder, names)
     offsets = np.cumsum(sizes) - sizes
     model = Model(order, parts, vocabulary, offsets, n_docs, tokens + n_docs, int(sizes.sum()) + (1 if n_docs else 0), {})
     shared = spark.sparkContext.broadcast(model)
@@ -333,7 +341,7 @@ def _keep_grams(folder: str, n: int, parts: int):
         h = hash_ids(columns)
         order = np.argsort(h)
         put(folder, f"{name}.hash", h[order])
-        put(folder, f"{name}.count", np.minimum(counts[order], 0xFFFFFFFF).astype("<u4"))
+        put(folder, f"{name}.count", narrow(counts[order]))
         kinds = np.bincount(np.minimum(counts, 5), minlength=6)
         rows: list[tuple] = [(p, None, n, name, len(h), int(counts.sum()), *kinds[1:5].tolist(), int(kinds[3:].sum()))]
         if n > 1:
@@ -345,9 +353,9 @@ def _keep_grams(folder: str, n: int, parts: int):
             ctx = context_hash([c[at] for c in columns])
             order = np.argsort(ctx)
             put(folder, f"{name}-context.hash", ctx[order])
-            put(folder, f"{name}-context.total", np.add.reduceat(counts, at)[order].astype("<u8"))
+            put(folder, f"{name}-context.total", narrow(np.add.reduceat(counts, at)[order]))
             for tag, which in (("n1", counts == 1), ("n2", counts == 2), ("n3", counts >= 3)):
-                put(folder, f"{name}-context.{tag}", np.add.reduceat(which.astype(np.int64), at)[order].astype("<u4"))
+                put(folder, f"{name}-context.{tag}", narrow(np.add.reduceat(which.astype(np.int64), at)[order]))
             lower, seen = sum_rows(columns[1:], np.ones(len(counts), np.int64))
             rows += [(to, block, n, None, 0, 0, 0, 0, 0, 0, 0) for to, block in split(lower, seen, parts)]
         return _stats_table(rows)
@@ -364,7 +372,7 @@ def _level(folder: str, stored: DataFrame, n: int, parts: int) -> Level:
         total += r.total
         high += r.k3p
     contexts = [None if x is None else f"{x}-context" for x in names]
-    return Level(Arrays(folder, names, KINDS), Arrays(folder, contexts, KINDS), kinds.tolist(), total, [int(kinds[0]), int(kinds[1]), high])
+    return Level(Arrays(folder, names), Arrays(folder, contexts), kinds.tolist(), total, [int(kinds[0]), int(kinds[1]), high])
 
 
 def sequences(model: Model, column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
