@@ -4,8 +4,9 @@ Counting. Tasks count their own n-grams in numpy and send each partition one
 compressed block of (ids, count); a partition is a range of hashes of the
 context, so a frequent word is spread over its followers' contexts only as far
 as its own count needs, and blocks of one context meet in one task as sums. The
-partition writes its n-grams and contexts as sorted arrays of 64-bit hashes with
-counts beside them (of as many bytes as the largest needs, up to 8), and passes on each n-gram without its first word, once, which
+partition writes its contexts as a sorted array of 64-bit hashes, each with the
+ids of the words that follow it, sorted, and with
+counts beside them (a byte each; larger ones, up to 64 bits, in a list), and passes on each n-gram without its first word, once, which
 gives the continuation counts of the order below. Words become ids through the
 vocabulary, which is such an array too.
 
@@ -38,15 +39,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_class, mapped, materialise, mix, new_path, put, slices, table, utf8, words
+from .common import byte_class, mapped, mix, new_path, put, slices, table, utf8, words
 
 ORDER = 2
 #: Order of the query's model.
 QUERY_ORDER = 3
 #: N-grams that a task counts before it sends them on.
-FLUSH = 3_000_000
+FLUSH = 5_000_000
 _SPACE = byte_class("space")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The followers of a context begin at a start, kept every so many contexts, and a small step from there.
+BLOCK = 64
 #: Ids: 0 unknown, 1 begin, 2 end, words from 3.
 UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 
@@ -55,7 +58,7 @@ UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
-    """The same numbers in the fewest of 1, 2, 4 or 8 bytes that hold all of them; readers tell the width by the size."""
+    """The same numbers in the fewest of 1, 2, 4 or 8 bytes that hold all of them."""
     most = int(a.max()) if len(a) else 0
     return a.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w))
 
@@ -65,9 +68,27 @@ def bucket_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def put_small(folder: str, name: str, a: np.ndarray) -> None:
+    """Numbers of a byte each; then the places and values of those of 255 and more."""
+    big = np.flatnonzero(a >= 255)
+    small = np.zeros(len(a) + -len(a) % 8, np.uint8)
+    small[: len(a)] = np.minimum(a, 255)
+    put(folder, name, np.concatenate([small, np.stack([big, a[big]]).astype("<u8").view(np.uint8).reshape(-1)]))
+
+
+def get_small(folder: str, name: str, size: int, at: np.ndarray) -> np.ndarray:
+    raw = mapped(folder, name, "u1")
+    out = raw[at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        places, values = raw[size + -size % 8 :].view("<u8").reshape(2, -1)
+        out[big] = values[np.searchsorted(places, at[big].astype(np.uint64))]
+    return out
+
+
 @dataclass
 class Arrays:
-    """One sorted hash array a bucket, with value arrays beside it."""
+    """One sorted hash array a bucket, with value arrays beside it and, of contexts, the words that follow."""
 
     folder: str
     names: list[str | None]
@@ -91,8 +112,42 @@ class Arrays:
             to, at = order[lo:hi][hit], at[hit]
             out[0][to] = at
             for v, name_of in enumerate(values):
-                raw = mapped(self.folder, f"{name}.{name_of}", "u1")
-                out[v + 1][to] = raw.view(f"<u{len(raw) // len(have)}")[at]
+                out[v + 1][to] = get_small(self.folder, f"{name}.{name_of}", len(have), at)
+        return out
+
+    def follow(self, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Five rows: the count of each id after its context, then the context's total, n1, n2 and n3; 0 if absent."""
+        out = np.zeros((5, len(contexts)), np.int64)
+        order = np.argsort(contexts)
+        keys, ids = contexts[order], ids[order]
+        edges = np.searchsorted(bucket_of(keys, len(self.names)), np.arange(len(self.names) + 1))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            name = self.names[p]
+            if name is None:
+                continue
+            lo, hi = edges[p], edges[p + 1]
+            have = mapped(self.folder, f"{name}.hash", "<u8")
+            if not len(have):
+                continue
+            at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
+            hit = have[at] == keys[lo:hi]
+            to, at, want = order[lo:hi][hit], at[hit], ids[lo:hi][hit]
+            for row, value in enumerate(("total", "n1", "n2"), 1):
+                out[row][to] = get_small(self.folder, f"{name}.{value}", len(have), at)
+            starts = mapped(self.folder, f"{name}.start", "<u8")
+            left, end = (starts[i // BLOCK].astype(np.int64) + get_small(self.folder, f"{name}.step", len(have) + 1, i) for i in (at, at + 1))
+            out[4][to] = end - left - out[2][to] - out[3][to]
+            followers = mapped(self.folder, f"{name}.word", "<u4")
+            right, live = end.copy(), np.arange(len(at))
+            while len(live):  # every search halves its own context's followers
+                middle = (left[live] + right[live]) >> 1
+                less = followers[middle] < want[live]
+                left[live] = np.where(less, middle + 1, left[live])
+                right[live] = np.where(less, right[live], middle)
+                live = live[left[live] < right[live]]
+            found = np.flatnonzero(left < end)
+            found = found[followers[left[found]] == want[found]]
+            out[0][to[found]] = get_small(self.folder, f"{name}.count", len(followers), left[found])
         return out
 
 
@@ -104,9 +159,9 @@ def shuffle_bytes(a: np.ndarray) -> bytes:
 
 
 def pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Rows sorted by columns, with counts; each column's bytes lie by significance, the first as steps."""
-    steps = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    body = [shuffle_bytes(steps), *(shuffle_bytes(c) for c in columns[1:]), shuffle_bytes(narrow(counts))]
+    """Rows sorted by columns, with counts; each column's bytes lie by significance; all but the last are steps, small among rows of one word."""
+    steps = [np.diff(c, prepend=c.dtype.type(0)) for c in (columns[:-1] or columns)]
+    body = [shuffle_bytes(c) for c in [*steps, *columns[len(steps) :], narrow(counts)]]
     return np.array([len(counts), len(columns)], "<u4").tobytes() + zstandard.compress(b"".join(body), 1)
 
 
@@ -114,7 +169,8 @@ def unpack(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     n, m = np.frombuffer(data, "<u4", 2).tolist()
     body = np.frombuffer(zstandard.decompress(data[8:]), np.uint8)
     columns = [np.ascontiguousarray(x.T).view("<u4").reshape(-1) for x in body[: 4 * m * n].reshape(m, 4, n)]
-    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+    for k in range(max(m - 1, 1)):
+        columns[k] = np.cumsum(columns[k], dtype=np.uint32)
     rest = body[4 * m * n :].reshape(-1, n)
     return columns, np.ascontiguousarray(rest.T).view(f"<u{len(rest)}").reshape(-1)
 
@@ -168,8 +224,7 @@ def split(columns: list[np.ndarray], counts: np.ndarray, parts: int) -> Iterator
 class Level:
     """Arrays of one order and what is known of all of it."""
 
-    grams: Arrays
-    contexts: Arrays
+    arrays: Arrays
     counts_of_counts: list[int]
     total: int
     kinds_by_count: list[int]
@@ -207,7 +262,7 @@ class Model:
         seen = self.levels[1]
         d = seen.discounts
         bucket = bucket_of(context_hash(grams[-1:]), self.parts)
-        _, c = seen.grams.find(bucket, hash_ids(grams[-1:]), "count")
+        _, c = seen.arrays.find(bucket, hash_ids(grams[-1:]), "count")
         words_ = self.types - (1 if self.docs else 0)
         uniform = 1.0 / (words_ + 2)  # the end and the unknown
         if seen.total:
@@ -218,10 +273,7 @@ class Model:
         for n in range(2, self.order + 1):
             level, columns = self.levels[n], grams[-n:]
             d = level.discounts
-            ctx = context_hash(columns)
-            bucket = bucket_of(ctx, self.parts)
-            _, c = level.grams.find(bucket, hash_ids(columns), "count")
-            _, total, n1, n2, n3 = level.contexts.find(bucket, ctx, "total", "n1", "n2", "n3")
+            c, total, n1, n2, n3 = level.arrays.follow(context_hash(columns), columns[-1])
             known = total > 0
             size = np.where(known, total, 1)
             higher = np.maximum(c - d[np.minimum(c, 3)], 0) / size + (d[1] * n1 + d[2] * n2 + d[3] * n3) / size * p
@@ -286,14 +338,13 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, parts: int
         counts = np.bincount(back, weights=np.concatenate(c), minlength=len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
         name = f"words-{p:06d}-{uuid.uuid4().hex}"
         put(folder, f"{name}.hash", keys)
-        put(folder, f"{name}.count", narrow(counts))
+        put_small(folder, f"{name}.count", counts)
         n_docs = sum(x for x in group.column("docs").to_pylist())
         return _stats_table([(p, None, 0, name, len(keys), int(counts.sum()), n_docs, 0, 0, 0, 0)])
 
-    rows = source.mapInArrow(count_words, "p int, block binary, docs long").groupBy("p").applyInArrow(keep_words, STATS)
     names: list[str | None] = [None] * parts
     sizes, tokens, n_docs = np.zeros(parts, np.int64), 0, 0
-    for r in rows.select("p", "file", "entries", "total", "k1").collect():
+    for r in source.mapInArrow(count_words, "p int, block binary, docs long").groupBy("p").applyInArrow(keep_words, STATS).select("p", "file", "entries", "total", "k1").collect():  # one row a partition
         names[r.p], sizes[r.p] = r.file, r.entries
         tokens += r.total
         n_docs += r.k1
@@ -325,25 +376,32 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER, parts: int
         yield from flush()
 
     blocks = source.mapInArrow(count_grams, "p int, block binary")
+    above = None
     for n in range(order, 0, -1):
-        stored = materialise(blocks.groupBy("p").applyInArrow(_keep_grams(folder, n, parts), STATS), f"level-{n}")
+        path = new_path(spark, f"level-{n}")
+        blocks.groupBy("p").applyInArrow(_keep_grams(folder, n, parts), STATS).write.parquet(path)
+        stored = spark.read.schema(STATS).parquet(path)
         model.levels[n] = _level(folder, stored, n, parts)
         blocks = stored.filter("block is not null").select("p", "block")
+        if above:  # counted: its blocks are not read again
+            _remove(spark, above)
+        above = path
     return model
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _keep_grams(folder: str, n: int, parts: int):
     def keep(group: pa.Table) -> pa.Table:
         p = group.column("p")[0].as_py()
         got = [unpack(b) for b in group.column("block").to_pylist()]
         columns, counts = sum_rows([np.concatenate([x[0][k] for x in got]) for k in range(n)], np.concatenate([x[1] for x in got]))
         name = f"level{n}-{p:06d}-{uuid.uuid4().hex}"
-        h = hash_ids(columns)
-        order = np.argsort(h)
-        put(folder, f"{name}.hash", h[order])
-        put(folder, f"{name}.count", narrow(counts[order]))
         kinds = np.bincount(np.minimum(counts, 5), minlength=6)
-        rows: list[tuple] = [(p, None, n, name, len(h), int(counts.sum()), *kinds[1:5].tolist(), int(kinds[3:].sum()))]
+        rows: list[tuple] = [(p, None, n, name, len(counts), int(counts.sum()), *kinds[1:5].tolist(), int(kinds[3:].sum()))]
         if n > 1:
             new = np.zeros(len(counts), bool)
             new[:1] = True
@@ -352,12 +410,23 @@ def _keep_grams(folder: str, n: int, parts: int):
             at = np.flatnonzero(new)
             ctx = context_hash([c[at] for c in columns])
             order = np.argsort(ctx)
-            put(folder, f"{name}-context.hash", ctx[order])
-            put(folder, f"{name}-context.total", narrow(np.add.reduceat(counts, at)[order]))
-            for tag, which in (("n1", counts == 1), ("n2", counts == 2), ("n3", counts >= 3)):
-                put(folder, f"{name}-context.{tag}", narrow(np.add.reduceat(which.astype(np.int64), at)[order]))
+            first = np.concatenate([[0], np.cumsum(np.diff(np.append(at, len(counts)))[order])])
+            put(folder, f"{name}.hash", ctx[order])
+            put_small(folder, f"{name}.total", np.add.reduceat(counts, at)[order])
+            for k in (1, 2):
+                put_small(folder, f"{name}.n{k}", np.add.reduceat((counts == k).astype(np.int64), at)[order])
+            put(folder, f"{name}.start", first[::BLOCK].astype("<u8"))
+            put_small(folder, f"{name}.step", first - first[np.arange(len(first)) // BLOCK * BLOCK])
+            row = np.repeat(at[order] - first[:-1], np.diff(first)) + np.arange(len(counts))
+            put(folder, f"{name}.word", columns[-1][row].astype("<u4"))
+            put_small(folder, f"{name}.count", counts[row])
             lower, seen = sum_rows(columns[1:], np.ones(len(counts), np.int64))
             rows += [(to, block, n, None, 0, 0, 0, 0, 0, 0, 0) for to, block in split(lower, seen, parts)]
+        else:
+            h = hash_ids(columns)
+            order = np.argsort(h)
+            put(folder, f"{name}.hash", h[order])
+            put_small(folder, f"{name}.count", counts[order])
         return _stats_table(rows)
 
     return keep
@@ -371,8 +440,7 @@ def _level(folder: str, stored: DataFrame, n: int, parts: int) -> Level:
         kinds += np.array([r.k1, r.k2, r.k3, r.k4])
         total += r.total
         high += r.k3p
-    contexts = [None if x is None else f"{x}-context" for x in names]
-    return Level(Arrays(folder, names), Arrays(folder, contexts), kinds.tolist(), total, [int(kinds[0]), int(kinds[1]), high])
+    return Level(Arrays(folder, names), kinds.tolist(), total, [int(kinds[0]), int(kinds[1]), high])
 
 
 def sequences(model: Model, column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
