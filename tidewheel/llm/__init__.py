@@ -1,4 +1,4 @@
-"""Corpus preparation for language models: ten operators, each its own module.
+"""Corpus preparation for language models: thirteen operators, each its own module.
 
 Nothing outside this subpackage imports it. queries() and oracle_sql() hold
 what the repository's entry file registers.
@@ -19,12 +19,16 @@ MODULES = (
     "quality",
     "rans",
     "rollup",
+    "simhash",
 )
 
 
+_LOADED = [import_module(f"{__name__}.{m}") for m in MODULES]
+
+
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"{__name__}.{m}").QUERIES.items()}
+    return {k: f for m in _LOADED for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: q for m in MODULES for k, q in getattr(import_module(f"{__name__}.{m}"), "ORACLE", {}).items()}
+    return {k: q for m in _LOADED for k, q in getattr(m, "ORACLE", {}).items()}

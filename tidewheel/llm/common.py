@@ -8,6 +8,7 @@ depend on the size of its partition or on the longest text.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -213,13 +214,20 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: Pieces of so many values are told apart by a digest: over 2^64 any polynomial has equal sums of some long pieces.
+LONG = 256
+
+
 def hash_pieces(values: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """64-bit hash of each piece [begin, stop) of well-mixed values: of what it holds, wherever it lies."""
     up, down = _power_tables(len(values))
     sums = np.empty(len(values) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64))
+    out = mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64))
+    for k in np.flatnonzero(stop - begin >= LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(values[begin[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
