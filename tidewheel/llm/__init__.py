@@ -19,6 +19,8 @@ MODULES = (
     "quality",
     "rans",
     "rollup",
+    "prefixes",
+    "threshold",
     "simhash",
 )
 
