@@ -12,11 +12,12 @@ tasks: turns are numbered in chunks of CHUNK by their turn value, chunk sums are
 added up, and only one number a chunk meets in one place. Sides of a
 conversation are its distinct speakers.
 
-Defined cases: null text is empty; a null role is the speaker `unknown`; turns
-with a null conversation form one conversation of their own, null turns come
-first; repeated rows are repeated turns; a conversation without any participant
-but `system` has no side and no rows; other columns are not read. Ties of turn
-follow speaker, then text.
+Defined cases: marks inside a text or role are escaped, as is a line break in a
+role, so neither can forge a turn; null text is empty; a null role is the speaker
+`unknown`; turns with a null conversation form one conversation of their own,
+null turns come first; repeated rows are repeated turns; a conversation without
+any participant but `system` has no side and no rows; other columns are not read.
+Ties of turn follow speaker, then text.
 """
 
 from __future__ import annotations
@@ -32,13 +33,18 @@ CHUNK = 64
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    """text with a backslash put into every mark that it spells, so that none opens or ends a turn; taking one out gives it back."""
+    return F.regexp_replace(text, r"<(\\*)\|im_(start|end)\|>", r"<$1\\|im_$2|>")
+
+
 def sides(turns: DataFrame) -> DataFrame:
     """(conv_id, side): every participant of every conversation."""
     return turns.filter(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("side")).distinct()
 
 
 def header(speaker: Column, side: Column) -> Column:
-    role = F.when(speaker == SYSTEM, F.lit("system")).when(speaker == side, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker))
+    role = F.when(speaker == SYSTEM, F.lit("system")).when(speaker == side, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.replace(escaped(speaker), F.lit("\n"), F.lit("\\n"))))
     return F.concat(F.lit(START), role, F.lit("\n"))
 
 
@@ -50,7 +56,7 @@ def perspectives(conversations: DataFrame, *, conv: str = "conv_id", turn: str =
     chunks of turns.
     """
     turns = conversations.select(
-        F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(text, F.lit("")).alias("text")
+        F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("speaker"), escaped(F.coalesce(text, F.lit(""))).alias("text")
     )
     turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))))
     who = sides(turns)
@@ -92,12 +98,14 @@ def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations")).select("conv_id", "side", "turn", "turn_no", "begin", none("mask_begin"), none("mask_end"), F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|im_(start|end)\|>', '<\1\\|im_\2|>', 'g')"
+
 QUERIES = {"op1_perspectives": op1_perspectives}
 ORACLE = {
     "op1_perspectives": f"""
-WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, {_ESCAPED.format("coalesce(text, '')")} AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id, speaker AS side FROM t WHERE speaker <> '{SYSTEM}'),
-h AS (SELECT t.*, side, '{START}' || CASE WHEN speaker = '{SYSTEM}' THEN 'system' WHEN speaker = side THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+h AS (SELECT t.*, side, '{START}' || CASE WHEN speaker = '{SYSTEM}' THEN 'system' WHEN speaker = side THEN 'assistant' ELSE 'user name=' || replace({_ESCAPED.format('speaker')}, chr(10), '\\n') END || chr(10) AS head
       FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 r AS (SELECT *, head || text || '{END.strip()}' || chr(10) AS rendered FROM h),
 p AS (SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS turn_no,

@@ -40,13 +40,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 #: kind, a literal that every match contains, pattern, the group that holds the value
 ADDED = (
-    ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"), 0),
     ("provider", "_", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,})"), 0),
     ("provider", "xox", re.compile(r"\bxox[abprs][-_][A-Za-z0-9-]{10,}"), 0),
-    ("web_token", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0),
+    ("web_token", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0),
     ("url", "://", re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]+://[^\s:/@]+:([^\s:/@]{3,})@"), 1),
 )
-KIND_ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *(x[0] for x in ADDED)))}
+#: The first and last line of a private key; key_blocks() pairs them.
+KEY_EDGE = re.compile(r"-----(?:(BEGIN)|END) (?:[A-Z]+ )*PRIVATE KEY-----")
+KIND_ORDER = {k: i for i, k in enumerate((*BASE_KINDS, "private_key", *(x[0] for x in ADDED)))}
 #: Words count only between non-letters: "latest" and "Contest" are no placeholders.
 PLACEHOLDER = re.compile(r"(?<![a-z])(?:example|sample|changeme|your|dummy|test|placeholder|\d?1234567\d*)(?![a-z])|xxxx|\*\*\*\*|(.)\1{5}", re.I)
 
@@ -65,6 +66,17 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Spans from a key's first line to the next last line, in one walk: a line that is never closed costs no second look."""
+    begin = None
+    for m in KEY_EDGE.finditer(text):
+        if m[1] and begin is None:
+            begin = m.start()
+        elif not m[1] and begin is not None:
+            yield begin, m.end()
+            begin = None
+
+
 def find(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, begin, end, value) by begin, then kind; positions are code points, end exclusive."""
     out = []
@@ -73,6 +85,8 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
+    if "PRIVATE KEY" in text:
+        out += [("private_key", a, b, text[a:b]) for a, b in key_blocks(text)]
     for kind, literal, pattern, group in ADDED:
         if literal in text:
             out += [(kind, m.start(), m.end(), m[group]) for m in pattern.finditer(text)]
