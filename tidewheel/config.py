@@ -15,6 +15,7 @@ HORIZONS = (1, 5, 10, 20, 60)
 DECILES = 10
 SCORE_START_BAR = 60
 PENDING = "pending_source"
+NEWS_SOURCE_PREFIX = "alpaca_news"
 
 #: Roles of proxies in the synthetic tables: the six part types.
 PROXIES = {"QQQ": "PX_PROMO", "IWM": "PX_SMALL", "DIA": "PX_LARGE", "TLT": "PX_STANDARD", "GLD": "PX_ECONOMY", "USO": "PX_MEDIUM"}

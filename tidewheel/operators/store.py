@@ -47,18 +47,30 @@ def stamp(spark: SparkSession, sf_dir: str) -> tuple:
     return (sf_dir, *out)
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The derived table `name` of a folder, written at its first use and read from then on.
+def stored_folder(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of what is derived as `name` of the tables in sf_dir, written at its first use.
 
-    Plans above it scan its columns only, and the source tables are not read again.
-    A session writes it anew if a source table has changed.
+    A session writes it anew if a source table has changed or the folder is gone.
     """
     key = (spark.sparkContext.applicationId, name, stamp(spark, sf_dir))
-    if key not in _STORED:
+    path = _STORED.get(key)
+    if path is not None:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            path = None
+    if path is None:
         path = f"{shared_folder(spark)}/market/{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
+        write(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return path
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The derived table `name` of a folder, written at its first use and read from then on.
+
+    Plans above it scan its columns only, and the source tables are not read again.
+    """
+    return spark.read.parquet(stored_folder(spark, sf_dir, name, lambda path: build().write.parquet(path)))
 
 
 def between(df: DataFrame, first: str | None = None, last: str | None = None, *, by: str = "date", before: str | None = None) -> DataFrame:
@@ -90,6 +102,13 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: str | None
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def first_of(rows: DataFrame, keys: list[str], *order: str, last: bool = False) -> DataFrame:
+    """One row for each key: the first by order, or the last; rows of a key are reduced in every task before they meet."""
+    rest = [F.col(c) for c in rows.columns if c not in keys]
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("picked_")).select(*keys, "picked_.*")
+
+
 def replace_partitions(df: DataFrame, path: str, by: str = "date") -> None:
     """Write df over the partitions it has; the others of the folder stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

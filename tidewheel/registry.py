@@ -6,12 +6,17 @@ from importlib import import_module
 
 MODULES: tuple[str, ...] = (
     "sources.adapter",
+    "sources.tables",
+    "sources.provider",
     "operators.features",
+    "operators.merge",
+    "operators.schema",
     "plans.scores",
     "plans.labels",
     "plans.backtest",
     "plans.intraday",
     "plans.screener",
+    "plans.runs",
 )
 
 

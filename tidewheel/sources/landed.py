@@ -42,6 +42,26 @@ def observations(texts: DataFrame, column: str = "json") -> DataFrame:
     return each.select("series", F.to_date("o.date").alias("date"), F.col("o.value").cast("double").alias("value"))
 
 
+def tickers(texts: DataFrame, column: str = "json") -> DataFrame:
+    """(ticker, cik, title) of a JSON object of companies; tickers are in upper case, the last company of one counts."""
+    schema = "map<string, struct<cik_str: bigint, ticker: string, title: string>>"
+    each = texts.select(F.explode(F.from_json(column, schema)).alias("no", "c")).select("no", F.upper("c.ticker").alias("ticker"), F.col("c.cik_str").alias("cik"), F.col("c.title").alias("title"))
+    return each.filter("ticker IS NOT NULL AND cik IS NOT NULL").groupBy("ticker").agg(F.max_by(F.struct("cik", "title"), F.struct(F.expr("try_cast(no AS bigint)"), "no")).alias("c")).select("ticker", "c.*")
+
+
+def with_cik(symbols: DataFrame, companies: DataFrame) -> DataFrame:
+    """symbols with cik and title of their ticker, else of the ticker with `-` for `.`; those without either are left out.
+
+    Each symbol asks under both spellings at once, so companies are joined once.
+    """
+    upper = F.upper("symbol")
+    asked = symbols.withColumn("asked", F.explode(F.array_distinct(F.array(upper, F.replace(upper, F.lit("."), F.lit("-"))))))
+    met = asked.join(companies, asked["asked"] == companies["ticker"])
+    rest = [c for c in symbols.columns if c != "symbol"]
+    own = F.struct((F.col("asked") != upper).alias("second"))
+    return met.groupBy("symbol").agg(F.min_by(F.struct(*rest, "cik", "title"), own).alias("c")).select("symbol", "c.*")
+
+
 def earnings(lines: DataFrame, requested: DataFrame, column: str = "value") -> DataFrame:
     """(symbol, date, event_type, estimate, source_event_id) from lines symbol,name,reportDate,fiscalDateEnding,estimate,currency."""
     cells = lines.select(F.from_csv(F.col(column), "symbol string, name string, report string, fiscal string, estimate string, currency string", {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("c")).select("c.*")
