@@ -123,8 +123,8 @@ def append_run(spark: SparkSession, path: str, run_name: str, first: str, last:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header; for results as small as a report."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file with a header, quotes doubled; for results as small as a report."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def snapshots(regime: DataFrame, sectors: DataFrame, stocks: DataFrame) -> DataFrame:

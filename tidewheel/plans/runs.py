@@ -35,7 +35,7 @@ def run_catalysts(spark: SparkSession, path: str, status: DataFrame) -> None:
     merge.merge(spark, path, status, ["score_date", "symbol"], by="score_date")
 
 
-_LAST = "2001-11-20"
+_LAST = "2001-10-28"
 
 
 def kept_catalysts(spark: SparkSession, sf_dir: str) -> DataFrame:
