@@ -29,6 +29,19 @@ def over(call: str, back: int | None = None, ahead: int = 0, by: str = "symbol",
     return f"{call} OVER (PARTITION BY {by} ORDER BY {order}{frame})"
 
 
+def timeframe_minutes(timeframe: str) -> int:
+    """Minutes of a timeframe such as 5Min or 2Hour."""
+    for unit, minutes in (("Min", 1), ("Hour", 60)):
+        if timeframe.endswith(unit) and timeframe.removesuffix(unit).isdecimal() and int(timeframe.removesuffix(unit)):
+            return int(timeframe.removesuffix(unit)) * minutes
+    raise ValueError(f"timeframe {timeframe!r} must be a number of Min or Hour, for example 5Min")
+
+
+def range_bars(minutes: int, timeframe: str) -> int:
+    """Bars that cover so many minutes, one at least."""
+    return max(1, -(-minutes // timeframe_minutes(timeframe)))
+
+
 def rel_score(x: str) -> str:
     return clamp(f"{C.NEUTRAL} + {C.RELATIVE_SCALE} * ({x})")
 

@@ -112,18 +112,18 @@ BIN = f"CAST(round({HLC3} / {BIN_SIZE}) AS BIGINT)"
 _STEP = "CASE WHEN s.c >= {v} * total THEN s WHEN s.hi < size(bins) AND bins[s.hi].vol >= CASE WHEN s.lo > 1 THEN bins[s.lo - 2].vol ELSE 0D END THEN struct(s.lo AS lo, s.hi + 1 AS hi, s.c + bins[s.hi].vol AS c) WHEN s.lo > 1 THEN struct(s.lo - 1 AS lo, s.hi AS hi, s.c + bins[s.lo - 2].vol AS c) ELSE s END".format(v=VALUE_AREA)
 
 
-def volume_profile(bars: DataFrame) -> DataFrame:
-    """(symbol, bin_size, total, vwap, poc, val, vah) of every symbol's session.
+def volume_profile(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(by, bin_size, total, vwap, poc, val, vah) of every session, told apart by the columns `by`.
 
-    Volume meets in bins first; a symbol's occupied bins, bounded by its price range
+    Volume meets in bins first; a session's occupied bins, bounded by its price range
     over the bin size, are one array on which the value area grows from the fullest
     bin (ties: the higher price) to the fuller side (ties: up).
     """
-    binned = bars.selectExpr("symbol", f"{BIN_SIZE} AS bin_size", f"{BIN} AS bin", "volume", f"{HLC3} AS p").groupBy("symbol", "bin_size", "bin").agg(F.sum("volume").alias("vol"), F.expr("sum(p * volume)").alias("pv"))
-    arrays = binned.groupBy("symbol", "bin_size").agg(F.sum("vol").alias("total"), F.expr("sum(pv)").alias("pv"), F.array_sort(F.collect_list(F.struct("bin", "vol"))).alias("bins"), F.expr("max(struct(vol, bin))").alias("top"))
+    binned = bars.selectExpr(*by, f"{BIN_SIZE} AS bin_size", f"{BIN} AS bin", "volume", f"{HLC3} AS p").groupBy(*by, "bin_size", "bin").agg(F.sum("volume").alias("vol"), F.expr("sum(p * volume)").alias("pv"))
+    arrays = binned.groupBy(*by, "bin_size").agg(F.sum("vol").alias("total"), F.expr("sum(pv)").alias("pv"), F.array_sort(F.collect_list(F.struct("bin", "vol"))).alias("bins"), F.expr("max(struct(vol, bin))").alias("top"))
     area = f"aggregate(sequence(1, size(bins)), struct(peak AS lo, peak AS hi, top.vol AS c), (s, i) -> {_STEP})"
     grown = arrays.withColumn("peak", F.expr("CAST(array_position(transform(bins, b -> b.bin), top.bin) AS INT)")).withColumn("area", F.expr(area))
-    return grown.selectExpr("symbol", "bin_size", "total", "pv / nullif(total, 0) AS vwap", "top.bin * bin_size AS poc", "bins[area.lo - 1].bin * bin_size AS val", "bins[area.hi - 1].bin * bin_size AS vah")
+    return grown.selectExpr(*by, "bin_size", "total", "pv / nullif(total, 0) AS vwap", "top.bin * bin_size AS poc", "bins[area.lo - 1].bin * bin_size AS val", "bins[area.hi - 1].bin * bin_size AS vah")
 
 
 cte("x_bins", f"SELECT symbol, {BIN_SIZE} AS bin_size, {BIN} AS bin, sum(volume) AS vol, sum({HLC3} * volume) AS pv FROM x_ibars GROUP BY 1, 2, 3")
@@ -153,42 +153,70 @@ N_CONFLUENCE = "(" + " + ".join(f"CASE WHEN {_CLOSE(x)} THEN 1 ELSE 0 END" for x
 PASSES = f"coalesce(ema10 > ema20 AND {N_CONFLUENCE} >= {MIN_CONFLUENCE} AND price / nullif(ema20, 0) - 1 >= {EMA_FLOOR}, false)"
 _near = lambda p: "(" + " OR ".join(f"coalesce(abs({p} / nullif({x}, 0) - 1) <= {WINDOW}, false)" for x in LEVELS) + ")"
 K = -(-RANGE_MINUTES // BAR_MINUTES)
-_W = "OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN {0})"
-_before = lambda k: _W.format(f"{k} PRECEDING AND 1 PRECEDING")
-MEASURED = {
-    "avg_k": f"CASE WHEN n > {K} THEN avg(volume) {_before(K)} ELSE avg(volume) {_W.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} END",
-    "avg_3": f"avg(volume) {_before(3)}",
-    "range_high": f"max(CASE WHEN idx < least({K}, n - 1) THEN high END) OVER (PARTITION BY symbol)",
-    "prior_high": f"max(high) {_W.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}",
-    "c_high": f"max(high) {_before(3)}",
-    "c_low": f"min(low) {_before(3)}",
-    "p_high": "lag(high, 1) OVER (PARTITION BY symbol ORDER BY slot)",
-    "p_close": "lag(close, 1) OVER (PARTITION BY symbol ORDER BY slot)",
-    "p_volume": "lag(volume, 1) OVER (PARTITION BY symbol ORDER BY slot)",
-}
-MORE = {"p_avg_3": "lag(avg_3, 1) OVER (PARTITION BY symbol ORDER BY slot)", "mid": "(c_high + c_low) / 2"}
-_POST = f"idx >= least({K}, n - 1) AND n > 1"
+
+
+def measured(by: str = "symbol", ranges: dict[str, int] | None = None) -> dict[str, str]:
+    """What triggers compare at each bar of a session; ranges has the opening range's bars of each timeframe, K bars without it."""
+    rows = f"OVER (PARTITION BY {by} ORDER BY slot ROWS BETWEEN {{0}})"
+    before = lambda k: rows.format(f"{k} PRECEDING AND 1 PRECEDING")
+    back = lambda c: f"lag({c}, 1) OVER (PARTITION BY {by} ORDER BY slot)"
+    prior = rows.format("UNBOUNDED PRECEDING AND 1 PRECEDING")
+    mean = lambda k: f"CASE WHEN n > {k} THEN avg(volume) {before(k)} ELSE avg(volume) {prior} END"
+    of_frame = "CASE timeframe " + " ".join(f"WHEN '{t}' THEN {mean(k)}" for t, k in (ranges or {}).items()) + " END"
+    return {
+        "avg_k": of_frame if ranges else mean(K),
+        "avg_3": f"avg(volume) {before(3)}",
+        "range_high": f"max(CASE WHEN idx < least({range_bars(ranges)}, n - 1) THEN high END) OVER (PARTITION BY {by})",
+        "prior_high": f"max(high) {prior}",
+        "c_high": f"max(high) {before(3)}",
+        "c_low": f"min(low) {before(3)}",
+        "p_high": back("high"),
+        "p_close": back("close"),
+        "p_volume": back("volume"),
+    }
+
+
+def more(by: str = "symbol") -> dict[str, str]:
+    return {"p_avg_3": f"lag(avg_3, 1) OVER (PARTITION BY {by} ORDER BY slot)", "mid": "(c_high + c_low) / 2"}
+
+
+def range_bars(ranges: dict[str, int] | None = None) -> str:
+    return "CASE timeframe " + " ".join(f"WHEN '{t}' THEN {k}" for t, k in ranges.items()) + " END" if ranges else str(K)
+
+
 _DRY = f"idx >= 4 AND n >= 5 AND {_near('p_close')} AND p_volume <= p_avg_3 * {DRYUP}"
 _TIGHT = f"idx >= 3 AND mid <> 0 AND (c_high - c_low) / nullif(mid, 0) <= {CLUSTER_RANGE} AND {_near('mid')}"
-#: For each trigger: where its volume test runs (a zero mean there ends the search), the mean, the level, the price test.
-RULES = {
-    "orb_breakout": (_POST, "avg_k", "range_high", "high > range_high AND close > range_high"),
-    "hod_break": ("idx >= 3", "avg_3", "prior_high", "high > prior_high AND close > prior_high"),
-    "volume_dryup_confirmation": (_DRY, "avg_3", "p_close", "close > p_high"),
-    "micro_cluster_break": (_TIGHT, "avg_3", "c_high", "close > c_high"),
-}
-RULE_PARTS = [(t, f"CASE WHEN coalesce({where}, false) AND {mean} = 0 THEN 1 ELSE 0 END", f"coalesce({where} AND {test} AND volume / nullif({mean}, 0) > {SPIKE}, false)", level, f"volume / nullif({mean}, 0)") for t, (where, mean, level, test) in RULES.items()]
 
 
-def triggers(bars: DataFrame, levels: DataFrame) -> DataFrame:
-    """(symbol, trigger_type, slot, close, level, spike): the first of each type, unless a zero mean volume comes before."""
-    seen = bars.drop("ac", "atr20").join(levels, "symbol")
+def rule_parts(ranges: dict[str, int] | None = None) -> list[tuple[str, str, str, str, str]]:
+    """(type, where a zero mean volume ends its search, where it fires, level, spike) of each trigger."""
+    post = f"idx >= least({range_bars(ranges)}, n - 1) AND n > 1"
+    #: For each trigger: where its volume test runs, the mean, the level, the price test.
+    rules = {
+        "orb_breakout": (post, "avg_k", "range_high", "high > range_high AND close > range_high"),
+        "hod_break": ("idx >= 3", "avg_3", "prior_high", "high > prior_high AND close > prior_high"),
+        "volume_dryup_confirmation": (_DRY, "avg_3", "p_close", "close > p_high"),
+        "micro_cluster_break": (_TIGHT, "avg_3", "c_high", "close > c_high"),
+    }
+    return [(t, f"CASE WHEN coalesce({where}, false) AND {mean} = 0 THEN 1 ELSE 0 END", f"coalesce({where} AND {test} AND volume / nullif({mean}, 0) > {SPIKE}, false)", level, f"volume / nullif({mean}, 0)") for t, (where, mean, level, test) in rules.items()]
+
+
+MEASURED, MORE, RULE_PARTS = measured(), more(), rule_parts()
+
+
+def triggers(bars: DataFrame, levels: DataFrame, by: tuple[str, ...] = ("symbol",), on: tuple[str, ...] = ("symbol",), ranges: dict[str, int] | None = None) -> DataFrame:
+    """(by, trigger_type, slot, close, level, spike): the first of each type in a session, unless a zero mean volume comes before.
+
+    Sessions are told apart by the columns `by`; levels are joined on those of `on`.
+    """
+    seen = bars.drop("ac", "atr20").join(levels, list(on))
+    key = ", ".join(by)
     named = lambda d: [f"{x} AS {k}" for k, x in d.items()]
-    seen = seen.selectExpr("*", *named(MEASURED)).selectExpr("*", *named(MORE))
-    parts = ", ".join(f"named_struct('trigger_type', '{t}', 'stop', {stop}, 'hit', {hit}, 'level', {level}, 'spike', {spike})" for t, stop, hit, level, spike in RULE_PARTS)
-    long = seen.selectExpr("symbol", "slot", "idx", "close", f"inline(array({parts}))").filter("hit OR stop = 1")
-    first = long.groupBy("symbol", "trigger_type").agg(F.min_by(F.struct("slot", "close", "level", "spike", "hit"), "idx").alias("f"))
-    return first.filter("f.hit").select("symbol", "trigger_type", "f.slot", "f.close", "f.level", "f.spike")
+    seen = seen.selectExpr("*", *named(measured(key, ranges))).selectExpr("*", *named(more(key)))
+    parts = ", ".join(f"named_struct('trigger_type', '{t}', 'stop', {stop}, 'hit', {hit}, 'level', {level}, 'spike', {spike})" for t, stop, hit, level, spike in rule_parts(ranges))
+    long = seen.selectExpr(*by, "slot", "idx", "close", f"inline(array({parts}))").filter("hit OR stop = 1")
+    first = long.groupBy(*by, "trigger_type").agg(F.min_by(F.struct("slot", "close", "level", "spike", "hit"), "idx").alias("f"))
+    return first.filter("f.hit").select(*by, "trigger_type", "f.slot", "f.close", "f.level", "f.spike")
 
 
 _named = lambda d: ", ".join(f"{x} AS {k}" for k, x in d.items())

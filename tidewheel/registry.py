@@ -15,6 +15,7 @@ MODULES: tuple[str, ...] = (
     "plans.labels",
     "plans.backtest",
     "plans.intraday",
+    "plans.sessions",
     "plans.screener",
     "plans.runs",
 )
