@@ -6,7 +6,7 @@ import re
 
 CTES: dict[str, str] = {}
 #: Used in many places of a statement: computed once.
-SHARED = ("x_prices", "x_bars", "x_dates", "x_eff", "x_members", "x_sectors", "x_industries", "x_stocks", "x_catalysts", "x_previous", "x_macro_asof", "x_flags", "x_action", "x_ibars", "x_mansfield", "x_sheld", "x_sstage1", "x_sbars")
+SHARED = ("x_prices", "x_bars", "x_dates", "x_eff", "x_members", "x_sectors", "x_industries", "x_stocks", "x_catalysts", "x_top", "x_watch_days", "x_watch_a", "x_watch_b", "x_watch_c", "x_macro_asof", "x_flags", "x_action", "x_ibars", "x_mansfield", "x_sheld", "x_sstage1", "x_sbars")
 
 
 def cte(name: str, sql: str) -> None:

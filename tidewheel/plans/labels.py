@@ -162,11 +162,12 @@ def watchlist(stocks: DataFrame, sectors: DataFrame, industries: DataFrame, stat
 
 
 cte("x_top", f"SELECT * FROM x_stocks WHERE rank <= {C.WATCHLIST}")
-cte("x_previous", "SELECT n.next_score_date AS score_date, t.symbol FROM x_top t JOIN (SELECT score_date, lead(score_date) OVER (ORDER BY score_date) AS next_score_date FROM x_dates) n ON n.score_date = t.score_date WHERE n.next_score_date IS NOT NULL")
-cte(
-    "x_watch1",
-    "SELECT t.*, c.catalyst, p.symbol IS NOT NULL AS in_previous, h.score_date IS NOT NULL AS has_previous, s.rank AS sector_rank, i.rank AS industry_rank, g.label AS regime, f.flags FROM x_top t JOIN x_catalysts c USING (score_date, symbol) JOIN x_sectors s ON s.score_date = t.score_date AND s.sector = t.sector LEFT JOIN x_industries i ON i.score_date = t.score_date AND i.sector = t.sector AND i.industry = t.industry JOIN x_regime g ON g.score_date = t.score_date JOIN x_flags f ON f.score_date = t.score_date LEFT JOIN x_previous p ON p.score_date = t.score_date AND p.symbol = t.symbol LEFT JOIN (SELECT DISTINCT score_date FROM x_previous) h ON h.score_date = t.score_date",
-)
+# one join a step: a symbol was on the list before if its last day on it is the score date before
+cte("x_watch_days", "SELECT d.score_date, d.before, coalesce(d.before IN (SELECT score_date FROM x_top), false) AS has_previous, g.label AS regime, f.flags FROM (SELECT score_date, lag(score_date) OVER (ORDER BY score_date) AS before FROM x_dates) d JOIN x_regime g ON g.score_date = d.score_date JOIN x_flags f ON f.score_date = d.score_date")
+cte("x_watch_a", "SELECT t.*, lag(score_date) OVER (PARTITION BY symbol ORDER BY score_date) AS last_day, c.catalyst FROM x_top t JOIN x_catalysts c USING (score_date, symbol)")
+cte("x_watch_b", "SELECT a.*, s.rank AS sector_rank FROM x_watch_a a JOIN x_sectors s ON s.score_date = a.score_date AND s.sector = a.sector")
+cte("x_watch_c", "SELECT b.*, i.rank AS industry_rank FROM x_watch_b b LEFT JOIN x_industries i ON i.score_date = b.score_date AND i.sector = b.sector AND i.industry = b.industry")
+cte("x_watch1", "SELECT c.*, d.has_previous, coalesce(c.last_day = d.before, false) AS in_previous, d.regime, d.flags FROM x_watch_c c JOIN x_watch_days d ON d.score_date = c.score_date")
 cte("x_watch", f"SELECT *, {WATCH_TEXT} AS labels FROM x_watch1")
 
 

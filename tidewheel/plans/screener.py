@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel import config as C
 from tidewheel.functions.expressions import r6, rank_key
-from tidewheel.operators import store
+from tidewheel.operators import merge, store
 from tidewheel.operators.oracle import cte, with_
 from tidewheel.plans.labels import Labelled
 from tidewheel.plans.scores import Market
@@ -33,13 +33,15 @@ COMMON = "market_cap > 2e9 AND eps_growth > 0 AND roa > 0 AND roe > 10 AND net_m
 BOUNDS = "(min_yield IS NULL OR dividend_yield > min_yield) AND (max_debt IS NULL OR debt_equity < max_debt) AND (max_pe IS NULL OR pe < max_pe) AND (max_pb IS NULL OR pb < max_pb)"
 
 
-def screen(fundamentals: DataFrame, sectors: DataFrame, extra: DataFrame) -> DataFrame:
+def screen(fundamentals: DataFrame, sectors: DataFrame, extra: DataFrame, order: str = "place") -> DataFrame:
     """fundamentals that pass their sector's thresholds, with the columns of extra by ticker, '' where it has none.
 
-    sectors has a row for each of a dozen sectors.
+    Of a ticker's rows the first by `order` counts in fundamentals and the last in
+    extra. sectors has a row for each of a dozen sectors.
     """
-    kept = fundamentals.join(F.broadcast(sectors), "sector").filter(COMMON).filter(BOUNDS).dropDuplicates(["ticker"])
-    return kept.join(extra.dropDuplicates(["ticker"]), "ticker", "left").na.fill("", [c for c in extra.columns if c != "ticker"])
+    kept = store.first_of(fundamentals.join(F.broadcast(sectors), "sector").filter(COMMON).filter(BOUNDS), ["ticker"], order)
+    last = store.first_of(extra, ["ticker"], order, last=True).drop(order)
+    return kept.drop(order).join(last, "ticker", "left").na.fill("", [c for c in last.columns if c != "ticker"])
 
 
 def thresholds(spark: SparkSession) -> DataFrame:
@@ -54,8 +56,8 @@ _SHOWN = ["ticker", "company", "sector", "brand"]
 def screener(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     limits = thresholds(spark)
-    base = part.selectExpr(_TICKER.format("STRING"), *_FUNDAMENTALS).join(F.broadcast(limits.select("no", "sector")), "no")
-    return screen(base, limits.drop("no"), part.filter("p_partkey % 4 <> 0").selectExpr(_TICKER.format("STRING"), "p_brand AS brand")).select(*_SHOWN)
+    base = part.selectExpr("p_partkey AS place", _TICKER.format("STRING"), *_FUNDAMENTALS).join(F.broadcast(limits.select("no", "sector")), "no")
+    return screen(base, limits.drop("no"), part.filter("p_partkey % 4 <> 0").selectExpr("p_partkey AS place", _TICKER.format("STRING"), "p_brand AS brand")).select(*_SHOWN)
 
 
 _value = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
@@ -140,13 +142,23 @@ UNION ALL SELECT 'latest_industries', count(*), 1 FROM x_industries WHERE score_
 UNION ALL SELECT 'latest_stocks', count(*), {C.STORED_STOCKS} FROM x_stocks WHERE score_date = (SELECT max(score_date) FROM x_dates)
 UNION ALL SELECT 'latest_watchlist', count(*), {C.WATCHLIST} FROM x_stocks WHERE rank <= {C.WATCHLIST} AND score_date = (SELECT max(score_date) FROM x_dates))"""
 
+cte("x_screened", _SCREEN_SQL)
+
 # ---- readers of stored tables ---------------------------------------------------
 
+
+
+def by_month(m: Market, name: str, build, by: str, first: str, last: str | None = None, *, before: str | None = None) -> DataFrame:
+    """Days of a derived table that lies by month: only the months between are read."""
+    path = store.stored_folder(m.spark, m.sf_dir, f"{name}-by-month", lambda p: merge.write(build(), p, by))
+    return merge.read(m.spark, path, first, last, by=by, before=before)
+
+
 _DAY, _FROM, _TO, _BEFORE = "1996-06-03", "1995-01-02", "1995-03-31", "1995-04-03"
 READS = {
-    "p01_scores_of_a_day": (lambda m: store.on(m.stock_scores(), _DAY, by="score_date").selectExpr("symbol", "rank", r6("score")), f"SELECT symbol, rank, {r6('score')} FROM x_stocks WHERE score_date = DATE '{_DAY}'"),
-    "p02_prices_of_a_range": (lambda m: store.between(m.bars.filter("symbol = 'SPY'"), _FROM, _TO).selectExpr("symbol", "date", r6("close")), f"SELECT symbol, date, {r6('close')} FROM x_prices WHERE symbol = 'SPY' AND date BETWEEN DATE '{_FROM}' AND DATE '{_TO}'"),
-    "p03_prices_before_a_day": (lambda m: store.between(m.bars.filter("symbol LIKE 'ETF%'"), _FROM, before=_BEFORE).selectExpr("symbol", "date", r6("close")), f"SELECT symbol, date, {r6('close')} FROM x_prices WHERE symbol LIKE 'ETF%' AND date >= DATE '{_FROM}' AND date < DATE '{_BEFORE}'"),
+    "p01_scores_of_a_day": (lambda m: by_month(m, "stock_scores", m.stock_scores, "score_date", _DAY, _DAY).selectExpr("symbol", "rank", r6("score")), f"SELECT symbol, rank, {r6('score')} FROM x_stocks WHERE score_date = DATE '{_DAY}'"),
+    "p02_prices_of_a_range": (lambda m: by_month(m, "bars", lambda: m.bars, "date", _FROM, _TO).filter("symbol = 'SPY'").selectExpr("symbol", "date", r6("close")), f"SELECT symbol, date, {r6('close')} FROM x_prices WHERE symbol = 'SPY' AND date BETWEEN DATE '{_FROM}' AND DATE '{_TO}'"),
+    "p03_prices_before_a_day": (lambda m: by_month(m, "bars", lambda: m.bars, "date", _FROM, before=_BEFORE).filter("symbol LIKE 'ETF%'").selectExpr("symbol", "date", r6("close")), f"SELECT symbol, date, {r6('close')} FROM x_prices WHERE symbol LIKE 'ETF%' AND date >= DATE '{_FROM}' AND date < DATE '{_BEFORE}'"),
     "p04_symbols_of_a_sector": (lambda m: m.stocks.filter("lower(sector) = lower('Asia') AND startswith(symbol, 'S0000')").select("symbol", "name", "industry"), "SELECT symbol, name, industry FROM x_symbols WHERE asset_type = 'stock' AND upper(sector) = 'ASIA' AND symbol LIKE 'S0000%'"),
     "r11_best_of_the_last_day": (lambda m: m.stock_scores().join(F.broadcast(m.dates.agg(F.max("score_date").alias("score_date"))), "score_date").filter("rank <= 10").select("symbol", "rank"), "SELECT symbol, rank FROM x_stocks WHERE rank <= 10 AND score_date = (SELECT max(score_date) FROM x_dates)"),
     "r08_weak_sectors": (lambda m: m.sectors().selectExpr("*", f"CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')}, sector DESC) AS INT) AS from_below").filter("from_below <= 3").select("score_date", "sector", "from_below"), f"SELECT score_date, sector, from_below FROM (SELECT *, CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')}, sector DESC) AS INT) AS from_below FROM x_sectors) WHERE from_below <= 3"),

@@ -18,6 +18,7 @@ MODULES: tuple[str, ...] = (
     "plans.sessions",
     "plans.screener",
     "plans.runs",
+    "plans.quality",
 )
 
 
