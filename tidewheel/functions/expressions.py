@@ -62,3 +62,20 @@ def r6(x: str, alias: str | None = None) -> str:
 def rank_key(score: str) -> str:
     """Scores that differ by less than summing order explains rank as equal."""
     return f"floor(({score}) * 1e8 + 0.50001)"
+
+
+def decimals(x: str, places: int, text: str = "STRING") -> str:
+    """x as a text with so many decimals, halves away from zero; `text` is the dialect's type of texts."""
+    whole = f"CAST(floor(abs({x}) * 1e{places} + 0.50001) AS BIGINT)"
+    one = 10**places
+    left = f"CAST(CAST(floor({whole} / {one}) AS BIGINT) AS {text})"
+    right = f"|| '.' || lpad(CAST({whole} % {one} AS {text}), {places}, '0')" if places else ""
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || {left} {right})"
+
+
+def percent(x: str, text: str = "STRING") -> str:
+    return f"({decimals(f'(({x}) * 100)', 2, text)} || '%')"
+
+
+def multiple(x: str, text: str = "STRING") -> str:
+    return f"({decimals(x, 2, text)} || 'x')"

@@ -143,9 +143,9 @@ _READY = f"SELECT *, stage2 AND trigger_count > 0 AS stage3, {I.READINESS} AS pr
 
 
 def recursive(final: str) -> str:
-    """The statement with value areas, setups and triggers in front."""
+    """The statement with value areas, setups, triggers and readiness in front."""
     head, tail = with_(f"/*areas*/ {final} /* x_spoc x_sstage1 x_sbars */").split("/*areas*/")
-    return head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + _AREA + "\n" + tail
+    return head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + _AREA + f",\nx_sready AS ({_READY})\n" + tail
 
 
 _B = [*SESSION, "slot", "idx", "volume", *(r6(c) for c in ("open", "high", "low", "close"))]
@@ -168,5 +168,5 @@ ORACLE = {
     "a16_session_profiles": recursive(f"SELECT {', '.join(_P)} FROM x_sprofile"),
     "q25_session_setups": recursive(f"SELECT {', '.join(_S)} FROM x_ssetups"),
     "q31_session_triggers": recursive(f"SELECT {', '.join(_T)} FROM x_strig WHERE hit"),
-    "q23_session_readiness": recursive(f"SELECT {', '.join(_R)} FROM ({_READY})"),
+    "q23_session_readiness": recursive(f"SELECT {', '.join(_R)} FROM x_sready"),
 }

@@ -19,6 +19,7 @@ MODULES: tuple[str, ...] = (
     "plans.screener",
     "plans.runs",
     "plans.quality",
+    "plans.report",
 )
 
 
