@@ -41,3 +41,25 @@ def test_an_attempt_that_failed_is_not_seen(spark, tmp_path):
     sums(spark, ("a", "x", "v", 1, 99)).write.parquet(f"file://{tmp_path}/store/attempt-0/sums")
     assert store.batches() == [] and store.commit("1", sums(spark, ("a", "x", "v", 1, 10)))
     assert totals(store) == {("a", "x", "v"): (1, 10)}
+
+
+def test_versions_by_tokenizer_files_count_what_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    from tidewheel.llm import bpe, rans, rollup
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "lang", "text")
+    odd = spark.createDataFrame([(-1, "a", None, None), (-2, "a", "en", ""), (-3, None, "en", "x\nx\ny " + "long " * 20_000)], "doc_id long, source string, lang string, text string")
+    docs = docs.select("doc_id", "source", "lang", "text").union(odd.select("doc_id", "source", "lang", "text"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    distinct = lambda t: "\n".join(dict.fromkeys(t.split("\n")))
+    own = {"byte-bpe-50k": Tokenizer.from_file(bpe.vocabulary_path()), "word-bpe-49k": Tokenizer.from_file(rans.vocabulary_path())}
+    for t in own.values():
+        t.no_truncation()
+        t.no_padding()
+    size = lambda v, t: len(own[v].encode(t, add_special_tokens=False).ids)
+    rows = rollup.changes(docs, versions=rollup.tokenizers()).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        assert r.n_tokens == size(r.version, text) and r.n_revised == size(r.version, distinct(text)) and r.revised == (distinct(text) != text)
