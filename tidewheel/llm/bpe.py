@@ -35,7 +35,7 @@ from .common import arrow_column, pieces, table
 VOCABULARY = "byte_bpe_50k.json"
 #: Stretches whose encoding a worker keeps, in each of two generations: when the newer one is
 #: full it becomes the older one, and what is used again moves up.
-MEMO = 60_000
+MEMO = 160_000
 
 #: Fixed value: the pre-token pattern of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
