@@ -28,12 +28,21 @@ def forward(bars: DataFrame) -> DataFrame:
     return bars.selectExpr("symbol", "date", f"inline(array({pairs}))").filter("ret IS NOT NULL")
 
 
+#: What a stock's score carries of its bar: the bar's day and its returns ahead.
+AHEAD = ["bar_date", *(f"fwd{h}" for h in C.HORIZONS)]
+_AHEAD = "inline(array(" + ", ".join(f"named_struct('horizon', {h}, 'ret', CASE WHEN bar_date = score_date THEN fwd{h} END)" for h in C.HORIZONS) + "))"
+
+
 def with_forward(rows: DataFrame, fwd: DataFrame, funds: DataFrame) -> DataFrame:
-    """rows (score_date, symbol, sector, ...) with ret, vs_sector and vs_spy where stock, fund and benchmark all have one."""
+    """rows (score_date, symbol, sector, AHEAD, ...) with ret, vs_sector and vs_spy where stock, fund and benchmark all have one.
+
+    A stock's own returns are those of the bar in effect if it is the day's; fwd has funds' and the benchmark's.
+    """
     own = fwd.withColumnRenamed("date", "score_date")
     fund = own.join(F.broadcast(funds), F.col("symbol") == F.col("sector_etf")).select("score_date", "horizon", "sector", F.col("ret").alias("fund_ret"))  # as many rows as the map has sectors
     spy = own.filter("symbol = 'SPY'").select("score_date", "horizon", F.col("ret").alias("spy_ret"))
-    joined = rows.join(own, ["score_date", "symbol"]).join(fund, ["score_date", "horizon", "sector"]).join(spy, ["score_date", "horizon"])
+    each = rows.selectExpr("*", _AHEAD).filter("ret IS NOT NULL").drop(*AHEAD)
+    joined = each.join(fund, ["score_date", "horizon", "sector"]).join(spy, ["score_date", "horizon"])
     return joined.selectExpr("*", "ret - fund_ret AS vs_sector", "ret - spy_ret AS vs_spy")
 
 
@@ -48,7 +57,7 @@ class Tested(Labelled):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
-        self.fwd = forward(self.bars)
+        self.fwd = forward(self.etfs)
 
     def sector_rows(self) -> DataFrame:
         return self.sectors()
@@ -69,11 +78,11 @@ class Tested(Labelled):
 
     def stock_observations(self) -> DataFrame:
         rows = self.stock_scores().withColumn("decile", F.expr(decile("score", "score_date", "rank"))).withColumn("entity", F.lit("stock"))
-        return with_forward(rows.select("entity", "score_date", "symbol", "sector", "decile"), self.fwd, self.funds).withColumn("relative", F.col("vs_sector")).select(*OBSERVED)
+        return with_forward(rows.select("entity", "score_date", "symbol", "sector", "decile", *AHEAD), self.fwd, self.funds).withColumn("relative", F.col("vs_sector")).select(*OBSERVED)
 
     def industry_observations(self) -> DataFrame:
         placed = self.industries().withColumn("decile", F.expr(decile("score", "score_date", "rank"))).select("score_date", "sector", "industry", "decile")
-        rows = self.stock_scores().select("score_date", "symbol", "sector", "industry").join(placed, ["score_date", "sector", "industry"]).withColumn("entity", F.lit("stock_by_industry"))
+        rows = self.stock_scores().select("score_date", "symbol", "sector", "industry", *AHEAD).join(placed, ["score_date", "sector", "industry"]).withColumn("entity", F.lit("stock_by_industry"))
         return with_forward(rows, self.fwd, self.funds).withColumn("relative", F.col("vs_sector")).select(*OBSERVED)
 
     def observations(self) -> DataFrame:
@@ -81,11 +90,11 @@ class Tested(Labelled):
 
     def event_rows(self) -> DataFrame:
         """Watchlist rows with their catalyst, forward returns and each group they are in."""
-        watch = self.stock_scores().filter(f"rank <= {C.WATCHLIST}").select("score_date", "symbol", "sector").join(self.status(), ["score_date", "symbol"])
+        watch = self.stock_scores().filter(f"rank <= {C.WATCHLIST}").select("score_date", "symbol", "sector", *AHEAD).join(self.status(), ["score_date", "symbol"])
         return with_forward(watch, self.fwd, self.funds).selectExpr("*", f"explode(split({EVENT_GROUPS}, '[|]')) AS grp")
 
     def action_rows(self) -> DataFrame:
-        watch = self.actions().filter(f"rank <= {C.WATCHLIST}").selectExpr("score_date", "symbol", "sector", f"array_distinct(split({ACTION_GROUPS}, '[|]')) AS groups".replace("primary_", "primary"))
+        watch = self.actions().filter(f"rank <= {C.WATCHLIST}").selectExpr("score_date", "symbol", "sector", f"array_distinct(split({ACTION_GROUPS}, '[|]')) AS groups".replace("primary_", "primary"), *AHEAD)
         return with_forward(watch, self.fwd, self.funds).selectExpr("*", "explode(groups) AS grp")
 
     def active_flags(self) -> DataFrame:

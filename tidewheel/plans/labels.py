@@ -24,16 +24,14 @@ def catalysts(stocks: DataFrame, events: DataFrame) -> DataFrame:
     """(score_date, symbol, catalyst) of the rows of stocks.
 
     An event counts on the dates near it: news for a week, filings for two, an
-    earnings date on the month before it. It is repeated for those days, so dates
-    and events meet by equality.
+    earnings date on the month before it. A row of stocks, of which each date has
+    a few, is repeated for those days, so it meets its events by equality and
+    events are not repeated.
     """
-    days = (
-        F.when(F.col("event_type") == "news", F.sequence("date", F.date_add("date", NEWS_DAYS)))
-        .when(F.col("event_type") == "filing", F.sequence("date", F.date_add("date", FILING_DAYS)))
-        .otherwise(F.sequence(F.date_sub("date", 30), "date"))
-    )
-    each = events.select("event_id", "symbol", "event_type", "headline", F.col("date").alias("event_date"), F.explode(days).alias("score_date"))
-    met = stocks.select("score_date", "symbol").join(each, ["score_date", "symbol"])
+    spans = {"news": (f"date_sub(score_date, {NEWS_DAYS})", "score_date"), "filing": (f"date_sub(score_date, {FILING_DAYS})", "score_date"), "earnings": ("score_date", "date_add(score_date, 30)")}
+    wanted = "flatten(array(" + ", ".join(f"transform(sequence({a}, {b}), d -> named_struct('event_type', '{t}', 'event_date', d))" for t, (a, b) in spans.items()) + "))"
+    asked = stocks.selectExpr("score_date", "symbol", f"inline({wanted})")
+    met = asked.join(events.select("event_id", "symbol", "event_type", "headline", F.col("date").alias("event_date")), ["symbol", "event_type", "event_date"])
     latest = F.max(F.when(F.col("event_type") == "filing", F.struct("event_date", "event_id", "headline")))
     counted = met.groupBy("score_date", "symbol").agg(F.count_if(F.col("event_type") == "news").alias("n_news"), F.min(F.when(F.col("event_type") == "earnings", F.col("event_date"))).alias("next_earnings"), latest.alias("l"))
     status = counted.selectExpr("score_date", "symbol", "n_news", "next_earnings", "element_at(split(trim(l.headline), ' +'), 1) AS form").selectExpr("score_date", "symbol", f"{CATALYST} AS catalyst")

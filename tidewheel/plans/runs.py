@@ -157,11 +157,11 @@ def counted_summary(m: Tested, watch: DataFrame, funds: DataFrame) -> tuple[Data
     watch is the labelled watchlist. A row counts once a horizon; it is skipped if
     its sector has no fund or stock, fund or benchmark lack a return.
     """
-    horizons = ", ".join(str(h) for h in C.HORIZONS)
+    horizons = ", ".join(f"named_struct('horizon', {h}, 'own_ret', CASE WHEN bar_date = score_date THEN fwd{h} END)" for h in C.HORIZONS)
     own = m.fwd.withColumnRenamed("date", "score_date")
     fund = own.join(F.broadcast(funds), F.col("symbol") == F.col("sector_etf")).select("score_date", "horizon", "sector", F.col("ret").alias("fund_ret"))
     spy = own.filter("symbol = 'SPY'").select("score_date", "horizon", F.col("ret").alias("spy_ret"))
-    each = watch.selectExpr("*", f"explode(array({horizons})) AS horizon").join(own.withColumnRenamed("ret", "own_ret"), ["score_date", "symbol", "horizon"], "left").join(fund, ["score_date", "horizon", "sector"], "left").join(spy, ["score_date", "horizon"], "left")
+    each = watch.selectExpr("*", f"inline(array({horizons}))").join(fund, ["score_date", "horizon", "sector"], "left").join(spy, ["score_date", "horizon"], "left")
     each = each.selectExpr("*", f"horizon = {C.HORIZONS[0]} AS first_horizon", "CASE WHEN fund_ret IS NOT NULL AND spy_ret IS NOT NULL THEN own_ret END AS ret")
     rows, grouped = Observation("rows"), Observation("grouped")
     seen = each.observe(rows, *(F.expr(x).alias(k) for k, x in _COUNTS.items())).filter("ret IS NOT NULL")

@@ -69,7 +69,7 @@ _SCREEN_SQL = f"SELECT ticker, company, sector, CASE WHEN p_partkey % 4 <> 0 THE
 def coverage(market: Market) -> DataFrame:
     """Bars of every required symbol: count, first and last date; zero where none came."""
     need = market.symbols.filter("asset_type = 'etf'").select("symbol")
-    seen = market.bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    seen = market.etfs.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
     return need.join(seen, "symbol", "left").na.fill(0, ["n"])
 
 

@@ -78,7 +78,7 @@ class Sessions:
     def _bars(self) -> DataFrame:
         """Bars of every session: (symbol, date, timeframe, slot, idx, n, open, high, low, close, volume, ac, atr20)."""
         suppliers = read(self.spark, self.sf_dir, "supplier").agg(F.count(F.lit(1)).alias("ns"))
-        held = effective(self.market.bars.select("symbol", "date", "next_date", "ac", "atr20"), self.days).select("symbol", F.col("score_date").alias("date"), "ac", "atr20")
+        held = effective(self.market.stock_bars.select("symbol", "date", "next_date", "ac", "atr20"), self.days).select("symbol", F.col("score_date").alias("date"), "ac", "atr20")
         ticks = read(self.spark, self.sf_dir, "events").crossJoin(F.broadcast(suppliers)).selectExpr(f"{stock_symbol('user_id % ns')} AS symbol", "event_id", f"date_sub(CAST(ts AS DATE), {EVENT_SHIFT_DAYS}) AS date", "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000) AS BIGINT) % 86400 AS second", "value", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")  # one row
         priced = ticks.join(held, ["symbol", "date"]).withColumn("price", F.expr(I.PRICE)).withColumn("timeframe", F.explode(F.array(*map(F.lit, TIMEFRAMES))))
         bars = priced.withColumn("slot", F.expr(f"CAST(floor(second / ({_SECONDS})) AS INT)")).groupBy(*SESSION, "slot")
@@ -88,8 +88,8 @@ class Sessions:
 
     def _stage1(self) -> DataFrame:
         """Every stock's measures on every day and its place among the day's stocks."""
-        daily = I.mansfield(self.market.bars, I.benchmark(self.market.bars)).join(self.market.stocks.select("symbol"), "symbol", "left_semi")
-        held = effective(daily, self.days).join(ema_at(self.market.bars, self.days), ["symbol", "date"])
+        daily = I.mansfield(self.market.stock_bars, I.benchmark(self.market.etfs)).join(self.market.stocks.select("symbol"), "symbol", "left_semi")
+        held = effective(daily, self.days).join(ema_at(self.market.stock_bars, self.days), ["symbol", "date"])
         rows = held.select("symbol", F.col("score_date").alias("date"), F.col("date").alias("bar_date"), "ac", *I.STAGE1).filter(I._NO_NULL)
         return rows.selectExpr("*", *PLACE)
 
