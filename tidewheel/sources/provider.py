@@ -307,51 +307,78 @@ _CIK = "try_cast(substring(symbol, 2, 6) AS BIGINT) + 7"
 _SPELLED = "CASE WHEN pmod(try_cast(substring(symbol, 2, 6) AS BIGINT), 3) = 0 THEN concat(substring(symbol, 1, 3), '.', substring(symbol, 4, 4)) ELSE symbol END"
 
 
-def land(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of a made landing zone, written once a session."""
-    return store.stored_folder(spark, sf_dir, "landing", lambda path: _land(spark, sf_dir, path))
+FEEDS = ("bars", "macro", "news", "earnings", "companies", "filings", "universe")
 
 
-def _land(spark: SparkSession, sf_dir: str, root: str) -> None:
+def land(spark: SparkSession, sf_dir: str, *feeds: str) -> str:
+    """The folder of a made landing zone with these feeds, or all, written once a session."""
+    feeds = feeds or FEEDS
+    return store.stored_folder(spark, sf_dir, "-".join(("landing", *feeds)), lambda path: [_LAND[f](spark, sf_dir, f"{path}/{f}") for f in feeds])
+
+
+def _land_bars(spark: SparkSession, sf_dir: str, path: str) -> None:
     by_symbol = lambda rows: F.to_json(F.struct(F.map_from_entries(F.array(F.struct("symbol", rows))).alias("bars")))
     t = F.concat(F.col("date").cast("string"), F.lit("T05:00:00Z"))
     prices = prices_daily(spark, sf_dir).select("symbol", F.struct(t.alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"), F.col("close").alias("vw")).alias("b"))
-    prices.groupBy("symbol").agg(F.array_sort(F.collect_list("b")).alias("rows")).select(by_symbol(F.col("rows"))).write.text(f"{root}/bars")  # a symbol's days are bounded by the calendar
+    prices.groupBy("symbol").agg(F.array_sort(F.collect_list("b")).alias("rows")).select(by_symbol(F.col("rows"))).write.text(path)  # a symbol's days are bounded by the calendar
+
+
+def _land_macro(spark: SparkSession, sf_dir: str, path: str) -> None:
     observed = macro_series(spark, sf_dir).select("series", F.struct(F.col("date").cast("string").alias("date"), F.when(F.dayofmonth("date") == 13, ".").otherwise(F.col("value").cast("string")).alias("value")).alias("o"))
-    observed.groupBy("series").agg(F.array_sort(F.collect_list("o")).alias("observations")).select("series", F.to_json(F.struct("observations"))).write.partitionBy("series").text(f"{root}/macro")
-    stocks = symbols(spark, sf_dir).filter("asset_type = 'stock'")
-    events = market_events(spark, sf_dir)
+    observed.groupBy("series").agg(F.array_sort(F.collect_list("o")).alias("observations")).select("series", F.to_json(F.struct("observations"))).write.partitionBy("series").text(path)
+
+
+def _land_news(spark: SparkSession, sf_dir: str, path: str) -> None:
     article = F.struct(F.col("event_id").alias("id"), "headline", F.concat(F.lit("http://news.example/"), "event_id").alias("url"), F.concat(F.col("date").cast("string"), F.lit("T12:00:00Z")).alias("created_at"), F.array("symbol", F.lit("ELSE")).alias("symbols"))
-    events.filter("event_type = 'news'").select(F.to_json(F.struct(F.array(article).alias("news")))).write.text(f"{root}/news")
+    market_events(spark, sf_dir).filter("event_type = 'news'").select(F.to_json(F.struct(F.array(article).alias("news")))).write.text(path)
+
+
+def _land_earnings(spark: SparkSession, sf_dir: str, path: str) -> None:
     line = F.concat_ws(",", F.lower("symbol"), F.lit("a name"), F.when(F.col("event_id") % 10 == 0, "soon").otherwise(F.col("date").cast("string")), F.lit("2001-12-31"), (F.col("event_id") % 5).cast("string"), F.lit("USD"))
-    events.filter("event_type = 'earnings'").select(line).write.text(f"{root}/earnings")
+    market_events(spark, sf_dir).filter("event_type = 'earnings'").select(line).write.text(path)
+
+
+def _land_companies(spark: SparkSession, sf_dir: str, path: str) -> None:
     company = F.struct(F.expr(_CIK).alias("cik_str"), F.lower(F.replace(F.expr(_SPELLED), F.lit("."), F.lit("-"))).alias("ticker"), F.col("name").alias("title"))
-    stocks.select(F.to_json(F.map_from_entries(F.array(F.struct(F.coalesce(F.expr(_CIK), F.lit(0)).cast("string"), company))))).write.text(f"{root}/companies")
-    filed = events.filter("event_type = 'filing'").select(F.expr(_CIK).alias("cik"), F.struct(F.split("headline", " ")[0].alias("form"), F.col("date").cast("string").alias("filed"), F.col("event_id").cast("string").alias("accession")).alias("f"))
+    _stocks(spark, sf_dir).select(F.to_json(F.map_from_entries(F.array(F.struct(F.coalesce(F.expr(_CIK), F.lit(0)).cast("string"), company))))).write.text(path)
+
+
+def _land_filings(spark: SparkSession, sf_dir: str, path: str) -> None:
+    filed = market_events(spark, sf_dir).filter("event_type = 'filing'").select(F.expr(_CIK).alias("cik"), F.struct(F.split("headline", " ")[0].alias("form"), F.col("date").cast("string").alias("filed"), F.col("event_id").cast("string").alias("accession")).alias("f"))
     recent = F.struct(F.col("fs.form").alias("form"), F.col("fs.filed").alias("filingDate"), F.col("fs.accession").alias("accessionNumber"), F.transform("fs", lambda x: F.lit("doc.htm")).alias("primaryDocument"))
-    filed.groupBy("cik").agg(F.array_sort(F.collect_list("f")).alias("fs")).select(F.to_json(F.struct("cik", F.struct(recent.alias("recent")).alias("filings")))).write.text(f"{root}/filings")  # one company's filings of a month
+    filed.groupBy("cik").agg(F.array_sort(F.collect_list("f")).alias("fs")).select(F.to_json(F.struct("cik", F.struct(recent.alias("recent")).alias("filings")))).write.text(path)  # one company's filings of a month
+
+
+def _land_universe(spark: SparkSession, sf_dir: str, path: str) -> None:
     row = F.concat(F.lit("<tr><td> "), "symbol", F.lit("</td><td>"), "name", F.lit("</td><td>"), "sector", F.lit("</td><td>"), "industry", F.lit("</td></tr>"))
-    stocks.select(F.concat(F.lit("<table>"), row, F.lit("</table>"))).write.text(f"{root}/universe")
+    _stocks(spark, sf_dir).select(F.concat(F.lit("<table>"), row, F.lit("</table>"))).write.text(path)
+
+
+_LAND = {"bars": _land_bars, "macro": _land_macro, "news": _land_news, "earnings": _land_earnings, "companies": _land_companies, "filings": _land_filings, "universe": _land_universe}
+
+
+def _stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols(spark, sf_dir).filter("asset_type = 'stock'")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stocks under the names that their feeds are asked for; every third has a dot."""
-    return symbols(spark, sf_dir).filter("asset_type = 'stock'").select(F.expr(_SPELLED).alias("symbol"))
+    return _stocks(spark, sf_dir).select(F.expr(_SPELLED).alias("symbol"))
 
 
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols(spark, sf_dir).filter("asset_type = 'stock' AND symbol NOT LIKE '%9'").select("symbol")
 
 
-_provider = lambda spark, d: LandedProvider(spark, land(spark, d))
+_provider = lambda spark, d, *feeds: LandedProvider(spark, land(spark, d, *feeds))
 QUERIES = {
-    "s16_provider_prices": lambda spark, d: _provider(spark, d).daily_prices(_plain(spark, d), _END).selectExpr("symbol", "date", *(r6(c) for c in ("open", "high", "low", "close", "ac")), "volume"),
-    "s16_provider_macro": lambda spark, d: _provider(spark, d).macro_observations(_END).selectExpr("series", "date", r6("value")),
-    "s03_provider_news": lambda spark, d: _provider(spark, d).recent_news(_plain(spark, d), _EVENT_END).select("symbol", "date", "event_type", "headline", "url", "source_event_id"),
-    "s05_provider_earnings": lambda spark, d: _provider(spark, d).upcoming_earnings(_plain(spark, d)),
-    "s06_provider_filings": lambda spark, d: _provider(spark, d).recent_filings(_asked(spark, d), _EVENT_END),
-    "s07_ticker_map": lambda spark, d: landed.with_cik(_asked(spark, d), _provider(spark, d).companies()),
-    "s08_universe": lambda spark, d: _provider(spark, d).universe(),
+    "s16_provider_prices": lambda spark, d: _provider(spark, d, "bars").daily_prices(_plain(spark, d), _END).selectExpr("symbol", "date", *(r6(c) for c in ("open", "high", "low", "close", "ac")), "volume"),
+    "s16_provider_macro": lambda spark, d: _provider(spark, d, "macro").macro_observations(_END).selectExpr("series", "date", r6("value")),
+    "s03_provider_news": lambda spark, d: _provider(spark, d, "news").recent_news(_plain(spark, d), _EVENT_END).select("symbol", "date", "event_type", "headline", "url", "source_event_id"),
+    "s05_provider_earnings": lambda spark, d: _provider(spark, d, "earnings").upcoming_earnings(_plain(spark, d)),
+    "s06_provider_filings": lambda spark, d: _provider(spark, d, "companies", "filings").recent_filings(_asked(spark, d), _EVENT_END),
+    "s07_ticker_map": lambda spark, d: landed.with_cik(_asked(spark, d), _provider(spark, d, "companies").companies()),
+    "s08_universe": lambda spark, d: _provider(spark, d, "universe").universe(),
 }
 _KEEP = "symbol IN (SELECT symbol FROM x_symbols WHERE asset_type = 'stock' AND symbol NOT LIKE '%9')"
 _CIK_SQL = "CAST(substr(symbol, 2, 6) AS BIGINT) + 7"
