@@ -2,10 +2,17 @@
 
 import datetime as dt
 import glob
+import math
+import random
+import re
+
+import pytest
 
 from tidewheel.operators import features, store
 from tidewheel.plans import labels
+from tidewheel.plans.intraday import sector_mansfield
 from tidewheel.plans.scores import Market
+from tidewheel.plans.sessions import ema_at
 from tidewheel.sources import provider
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +68,64 @@ def test_catalysts_at_the_ends_of_their_days(spark):
 def test_a_feed_lands_alone(spark):
     root = provider.land(spark, SF, "earnings").removeprefix("file://")
     assert [p.rsplit("/", 1)[1] for p in glob.glob(f"{root}/*")] == ["earnings"]
+
+
+def test_frames_are_made_of_pieces(spark):
+    """No frame of a window over bars meets a bar more than ten times; 50 and 60 bars are made of such pieces."""
+    plan = Market(spark, SF).stock_bars._jdf.queryExecution().optimizedPlan().toString()
+    plan += sector_mansfield(Market(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    backs = [int(x) for x in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+), currentrow\$\(\)\)", plan)]
+    assert backs and max(backs) <= 9
+
+
+def test_frames_of_pieces_have_the_values_of_whole_frames(spark):
+    rng = random.Random(5)
+    days = [DAY + dt.timedelta(k) for k in range(140)]
+    rows = []
+    for s in ("A", "B"):
+        for k, d in enumerate(days):
+            c = 0.0 if k % 37 == 5 else None if k % 41 == 7 else rng.uniform(50, 150)
+            rows.append((s, d, c, None if c is None else c + 1, c, c, c, float(rng.randrange(1000))))
+    prices = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, ac double, volume double")
+    plain = prices
+    for layer in (features.BASE, features.RANGES, features.MEANS):
+        plain = plain.selectExpr("*", *(f"{x} AS {k}" for k, x in layer.items()))
+    plain = plain.selectExpr("symbol", "date", *(f"{x} AS {k}" for k, x in features.FINAL.items())).selectExpr("*", f"{features.TREND} AS trend_state")
+    made = features.bars(prices).select(*plain.columns).orderBy("symbol", "date").collect()
+    for a, b in zip(made, plain.orderBy("symbol", "date").collect(), strict=True):
+        for k, x in a.asDict().items():
+            assert x == pytest.approx(b[k], rel=1e-12) if isinstance(x, float) else x == b[k], (k, a.date)
+
+
+def test_ranks_are_bounded_by_some_stocks_and_taken_of_all(spark):
+    days = "explode(sequence(DATE '2031-03-03', DATE '2031-05-05')) AS date"
+    price = "100D + CASE WHEN symbol = 'SPY' THEN 0 ELSE (xxhash64(symbol, date) % 100) / 10 END"
+    prices = spark.range(2001).selectExpr("CASE WHEN id = 2000 THEN 'SPY' ELSE concat('S', id) END AS symbol", days).selectExpr("symbol", "date", f"{price} AS c").selectExpr("symbol", "date", "c AS open", "c AS high", "c AS low", "c AS close", "c AS ac", "1e6D AS volume")
+    members = spark.range(2000).selectExpr("concat('S', id) AS symbol", "'x' AS name", "'stock' AS asset_type", "'E' AS sector", "'O' AS industry")
+    m = Market(spark, "", bars=features.bars(prices), members=members, funds=spark.createDataFrame([("E", "XE")], "sector string, sector_etf string"))
+    floors = m._floors()
+    assert "pmod(xxhash64(symbol" in floors._jdf.queryExecution().optimizedPlan().toString()
+    least = {r.score_date: r.least for r in floors.collect()}
+    scored = m._scored().select("score_date", "symbol", "score", "step").collect()
+    assert len(least) == 4 and sum(r.step >= least[r.score_date] for r in scored) < len(scored) * 0.8
+    best = {(r.score_date, r["rank"]): r.symbol for r in m._ranks().select("score_date", "rank", "symbol").collect()}
+    for day in least:
+        order = sorted((-math.floor(r.score * 1e8 + 0.50001), r.symbol) for r in scored if r.score_date == day)
+        assert [best[day, k + 1] for k in range(50)] == [s for _, s in order[:50]]
+
+
+def test_session_averages_are_walked_from_any_bar(spark):
+    first = {"A": 120, "B": 15, "C": 9, "D": 60}
+    rows = [(s, DAY + dt.timedelta(k), DAY + dt.timedelta(k + 1) if k + 1 < n else None, k, 50.0 + (k * 7) % 11) for s, n in first.items() for k in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, next_date date, bar_idx int, ac double")
+    asked = spark.createDataFrame([(DAY + dt.timedelta(k),) for k in (5, 12, 30, 100)], "score_date date")
+    seen = {(r.symbol, r.date): (r.ema10, r.ema20) for r in ema_at(bars, asked).collect()}
+    for s, d, _, k, _ in rows:
+        closes = [50.0 + (j * 7) % 11 for j in range(k + 1)]
+        for n, value in zip((10, 20), seen.get((s, d), (None, None)), strict=True):
+            mean = sum(closes[:n]) / n
+            for x in closes[n:]:
+                mean = x * 2 / (n + 1) + mean * (1 - 2 / (n + 1))
+            assert value is None if k + 1 < n or (s, d) not in seen else value == pytest.approx(mean)
+    days = {(DAY + dt.timedelta(k)) for k in range(5, 101)}
+    assert set(seen) == {(s, d) for s, d, nxt, *_ in rows if d in days or (nxt is None and d < DAY + dt.timedelta(5))} | {("C", DAY + dt.timedelta(8)), ("B", DAY + dt.timedelta(14)), ("D", DAY + dt.timedelta(59))}

@@ -30,18 +30,20 @@ _SECONDS = "CASE timeframe " + " ".join(f"WHEN '{t}' THEN {60 * timeframe_minute
 def ema_at(bars: DataFrame, days: DataFrame) -> DataFrame:
     """(symbol, date, ema10, ema20) at the bars that are in effect on the days: means of the first n closes, then recursive.
 
-    A symbol's closes are one array, as many as it has trading days; it is walked
-    once and keeps the averages of the bars asked for.
+    A symbol's closes are one array, as many as it has trading days. Those before
+    the first bar asked for are only averaged; the few from there on keep theirs.
     """
     span = days.agg(F.min("score_date").alias("d0"), F.max("score_date").alias("d1"))
-    wanted = (F.coalesce("next_date", F.col("d1") + 1) > F.col("d0")) & (F.col("date") <= F.col("d1"))
-    listed = bars.select("symbol", "date", "next_date", "bar_idx", "ac").crossJoin(F.broadcast(span))  # one row
-    arrays = listed.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_idx", "ac", "date", wanted.alias("wanted")))).alias("a"))
-    ema = lambda n: f"CASE WHEN s.n + 1 < {n} THEN s.m{n} + x.ac WHEN s.n + 1 = {n} THEN (s.m{n} + x.ac) / {n} ELSE x.ac * {2 / (n + 1)!r}D + s.m{n} * {1 - 2 / (n + 1)!r}D END"  # noqa: E731  the sum, until there are n closes
+    wanted = "coalesce(next_date, date_add(d1, 1)) > d0"
+    listed = bars.select("symbol", "date", "next_date", "bar_idx", "ac").crossJoin(F.broadcast(span)).filter("date <= d1")  # one row
+    arrays = listed.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("bar_idx", "ac"))).alias("a"), F.sort_array(F.expr(f"collect_list(CASE WHEN {wanted} THEN struct(bar_idx, ac, date) END)")).alias("w"))
+    split = arrays.filter("size(w) > 0").selectExpr("symbol", "w", "transform(slice(a, 1, size(a) - size(w)), e -> e.ac) AS a")
+    before = lambda n: f"CASE WHEN size(a) < {n} THEN aggregate(a, 0D, (s, x) -> s + x) ELSE aggregate(slice(a, {n + 1}, size(a) - {n}), aggregate(slice(a, 1, {n}), 0D, (s, x) -> s + x) / {n}, (s, x) -> x * {2 / (n + 1)!r}D + s * {1 - 2 / (n + 1)!r}D) END"  # noqa: E731  the sum, until there are n closes
+    ema = lambda n: f"CASE WHEN s.n + 1 < {n} THEN s.m{n} + x.ac WHEN s.n + 1 = {n} THEN (s.m{n} + x.ac) / {n} ELSE x.ac * {2 / (n + 1)!r}D + s.m{n} * {1 - 2 / (n + 1)!r}D END"
     step = f"named_struct('n', s.n + 1, 'm10', {ema(10)}, 'm20', {ema(20)}, 'out', s.out)"
-    kept = "CASE WHEN x.wanted THEN concat(s.out, array(named_struct('date', x.date, 'ema10', CASE WHEN s.n >= 10 THEN s.m10 END, 'ema20', CASE WHEN s.n >= 20 THEN s.m20 END))) ELSE s.out END"
-    walked = f"aggregate(a, named_struct('n', 0, 'm10', 0D, 'm20', 0D, 'out', CAST(array() AS array<struct<date: date, ema10: double, ema20: double>>)), (t, x) -> transform(array({step.replace('s.', 't.')}), s -> named_struct('n', s.n, 'm10', s.m10, 'm20', s.m20, 'out', {kept}))[0]).out"
-    return arrays.selectExpr("symbol", f"inline({walked})")
+    kept = "concat(s.out, array(named_struct('date', x.date, 'ema10', CASE WHEN s.n >= 10 THEN s.m10 END, 'ema20', CASE WHEN s.n >= 20 THEN s.m20 END)))"
+    walked = f"aggregate(w, named_struct('n', size(a), 'm10', {before(10)}, 'm20', {before(20)}, 'out', CAST(array() AS array<struct<date: date, ema10: double, ema20: double>>)), (t, x) -> transform(array({step.replace('s.', 't.')}), s -> named_struct('n', s.n, 'm10', s.m10, 'm20', s.m20, 'out', {kept}))[0]).out"
+    return split.selectExpr("symbol", f"inline({walked})")
 
 
 @dataclass(frozen=True)
