@@ -12,7 +12,7 @@ from tidewheel.operators import features, store
 from tidewheel.plans import labels
 from tidewheel.plans.intraday import sector_mansfield
 from tidewheel.plans.scores import Market
-from tidewheel.plans.sessions import ema_at
+from tidewheel.plans.sessions import Sessions, ema_at
 from tidewheel.sources import provider
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +129,30 @@ def test_session_averages_are_walked_from_any_bar(spark):
             assert value is None if k + 1 < n or (s, d) not in seen else value == pytest.approx(mean)
     days = {(DAY + dt.timedelta(k)) for k in range(5, 101)}
     assert set(seen) == {(s, d) for s, d, nxt, *_ in rows if d in days or (nxt is None and d < DAY + dt.timedelta(5))} | {("C", DAY + dt.timedelta(8)), ("B", DAY + dt.timedelta(14)), ("D", DAY + dt.timedelta(59))}
+
+
+def test_recent_prices_give_the_measures_of_all(spark):
+    rng = random.Random(5)
+    rows = []
+    for s, first, step in (("A", 0, 1), ("B", 0, 3), ("C", 190, 1), ("D", 205, 2), ("E", 0, 190)):
+        for k in range(first, 230, step):
+            c = [round(rng.uniform(20, 60), 2) for _ in range(4)]
+            rows.append((s, DAY + dt.timedelta(k), c[0], max(c), min(c), c[3], c[3], float(rng.randrange(1, 9))))
+    prices = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, ac double, volume double")
+    since = DAY + dt.timedelta(200)
+    recent = features.recent_prices(prices, spark.createDataFrame([(since,)], "since date"))
+    assert recent.groupBy("symbol").count().filter(f"symbol = 'A' AND count = {features.LOOKBACK + 30}").count() == 1
+    in_effect = f"coalesce(next_date, DATE '9999-01-01') > DATE '{since}'"
+    got, want = (sorted(map(tuple, features.bars(p).filter(in_effect).collect()), key=lambda r: r[:2]) for p in (recent, prices))
+    columns = features.bars(prices).columns
+    assert [r[:2] for r in got] == [r[:2] for r in want] and features.bars(recent).columns == columns
+    for g, w in zip(got, want, strict=True):
+        assert dict(zip(columns, g, strict=True)) == pytest.approx(dict(zip(columns, w, strict=True)), nan_ok=True)
+
+
+def test_sessions_meet_stored_lines_in_one_table(spark):
+    """Bars and first-stage measures of sessions come of one table by symbol and day; neither reads the lines again."""
+    s = Sessions(spark, SF)
+    s.daily()
+    for made in (s._bars(), s._stage1()):
+        assert "lines_" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -8,16 +8,18 @@ the last daily bar on or before the day.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.expressions import r6, range_bars, timeframe_minutes
 from tidewheel.operators.asof import effective
+from tidewheel.operators.features import bars, recent_prices
 from tidewheel.operators.oracle import cte, with_
 from tidewheel.plans import intraday as I
 from tidewheel.plans.scores import Market
-from tidewheel.sources.adapter import EVENT_SHIFT_DAYS, read, stock_symbol
+from tidewheel.sources.adapter import EVENT_SHIFT_DAYS, read, stock_prices, stock_symbol
 
 SESSION = ("symbol", "date", "timeframe")
 #: Profiles are built of one timeframe and triggers searched in another.
@@ -32,12 +34,14 @@ def ema_at(bars: DataFrame, days: DataFrame) -> DataFrame:
 
     A symbol's closes are one array, as many as it has trading days. Those before
     the first bar asked for are only averaged; the few from there on keep theirs.
+    Of a bar only its date and close are read, so nothing is sorted but the arrays.
     """
     span = days.agg(F.min("score_date").alias("d0"), F.max("score_date").alias("d1"))
-    wanted = "coalesce(next_date, date_add(d1, 1)) > d0"
-    listed = bars.select("symbol", "date", "next_date", "bar_idx", "ac").crossJoin(F.broadcast(span)).filter("date <= d1")  # one row
-    arrays = listed.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("bar_idx", "ac"))).alias("a"), F.sort_array(F.expr(f"collect_list(CASE WHEN {wanted} THEN struct(bar_idx, ac, date) END)")).alias("w"))
-    split = arrays.filter("size(w) > 0").selectExpr("symbol", "w", "transform(slice(a, 1, size(a) - size(w)), e -> e.ac) AS a")
+    listed = bars.select("symbol", "date", "ac").crossJoin(F.broadcast(span)).filter("date <= d1")  # one row
+    after = listed.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "ac"))).alias("a"), F.count_if(F.expr("date > d0")).alias("n"))
+    # the last bar up to the first day and those after it
+    arrays = after.selectExpr("symbol", "a", "slice(a, greatest(size(a) - CAST(n AS INT), 1), size(a)) AS w")
+    split = arrays.selectExpr("symbol", "w", "transform(slice(a, 1, size(a) - size(w)), e -> e.ac) AS a")
     before = lambda n: f"CASE WHEN size(a) < {n} THEN aggregate(a, 0D, (s, x) -> s + x) ELSE aggregate(slice(a, {n + 1}, size(a) - {n}), aggregate(slice(a, 1, {n}), 0D, (s, x) -> s + x) / {n}, (s, x) -> x * {2 / (n + 1)!r}D + s * {1 - 2 / (n + 1)!r}D) END"  # noqa: E731  the sum, until there are n closes
     ema = lambda n: f"CASE WHEN s.n + 1 < {n} THEN s.m{n} + x.ac WHEN s.n + 1 = {n} THEN (s.m{n} + x.ac) / {n} ELSE x.ac * {2 / (n + 1)!r}D + s.m{n} * {1 - 2 / (n + 1)!r}D END"
     step = f"named_struct('n', s.n + 1, 'm10', {ema(10)}, 'm20', {ema(20)}, 'out', s.out)"
@@ -71,28 +75,41 @@ class Sessions:
     """Session bars, first-stage measures, profiles, setups, triggers and readiness of all days with ticks."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, limits: Limits = Limits()):  # noqa: B008  frozen
-        self.spark, self.sf_dir, self.market = spark, sf_dir, Market(spark, sf_dir)
+        self.spark, self.sf_dir, self.market, self.limits = spark, sf_dir, Market(spark, sf_dir), limits
         day = f"date_sub(CAST(ts AS DATE), {EVENT_SHIFT_DAYS})"
         self.days = self.market.table("session_days", lambda: read(spark, sf_dir, "events").selectExpr(f"{day} AS score_date").distinct())
-        self.bars = self.market.table("session_bars", self._bars)
-        self.stage1 = self.market.table("session_stage1", self._stage1).selectExpr("*", f"{limits.candidate()} AS candidate")
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return self.market.table("session_bars", self._bars)
+
+    @cached_property
+    def stage1(self) -> DataFrame:
+        return self.market.table("session_stage1", self._stage1).selectExpr("*", f"{self.limits.candidate()} AS candidate")
 
     def _bars(self) -> DataFrame:
         """Bars of every session: (symbol, date, timeframe, slot, idx, n, open, high, low, close, volume, ac, atr20)."""
         suppliers = read(self.spark, self.sf_dir, "supplier").agg(F.count(F.lit(1)).alias("ns"))
-        held = effective(self.market.stock_bars.select("symbol", "date", "next_date", "ac", "atr20"), self.days).select("symbol", F.col("score_date").alias("date"), "ac", "atr20")
+        held = self.daily().select("symbol", "date", "ac", "atr20")  # merged: ticks then lie by symbol and day, and their bars need no shuffle of both timeframes
         ticks = read(self.spark, self.sf_dir, "events").crossJoin(F.broadcast(suppliers)).selectExpr(f"{stock_symbol('user_id % ns')} AS symbol", "event_id", f"date_sub(CAST(ts AS DATE), {EVENT_SHIFT_DAYS}) AS date", "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000) AS BIGINT) % 86400 AS second", "value", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")  # one row
-        priced = ticks.join(held, ["symbol", "date"]).withColumn("price", F.expr(I.PRICE)).withColumn("timeframe", F.explode(F.array(*map(F.lit, TIMEFRAMES))))
-        bars = priced.withColumn("slot", F.expr(f"CAST(floor(second / ({_SECONDS})) AS INT)")).groupBy(*SESSION, "slot")
-        made = bars.agg(F.min_by("price", "event_id").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "event_id").alias("close"), F.expr("CAST(sum(100 + 10 * k) AS DOUBLE)").alias("volume"), F.first("ac").alias("ac"), F.first("atr20").alias("atr20"))
+        priced = ticks.join(held.hint("merge"), ["symbol", "date"]).withColumn("price", F.expr(I.PRICE)).withColumn("timeframe", F.explode(F.array(*map(F.lit, TIMEFRAMES))))
+        slots = priced.withColumn("slot", F.expr(f"CAST(floor(second / ({_SECONDS})) AS INT)")).groupBy(*SESSION, "slot")
+        made = slots.agg(F.min_by("price", "event_id").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "event_id").alias("close"), F.expr("CAST(sum(100 + 10 * k) AS DOUBLE)").alias("volume"), F.first("ac").alias("ac"), F.first("atr20").alias("atr20"))
         key = ", ".join(SESSION)
         return made.selectExpr("*", f"CAST(row_number() OVER (PARTITION BY {key} ORDER BY slot) - 1 AS INT) AS idx", f"CAST(count(*) OVER (PARTITION BY {key}) AS INT) AS n")
 
+    def daily(self) -> DataFrame:
+        """(symbol, date, bar_date, ac, STAGE1) of every stock and day: measures of the bar in effect, with or without nulls."""
+        return self.market.table("session_daily", self._daily)
+
+    def _daily(self) -> DataFrame:
+        recent = bars(recent_prices(stock_prices(self.spark, self.sf_dir), self.days.agg(F.min("score_date").alias("since"))))
+        held = effective(I.mansfield(recent, I.benchmark(self.market.etfs)), self.days).join(ema_at(self.market.stock_bars, self.days), ["symbol", "date"])
+        return held.select("symbol", F.col("score_date").alias("date"), F.col("date").alias("bar_date"), "ac", *I.STAGE1)
+
     def _stage1(self) -> DataFrame:
         """Every stock's measures on every day and its place among the day's stocks."""
-        daily = I.mansfield(self.market.stock_bars, I.benchmark(self.market.etfs)).join(self.market.stocks.select("symbol"), "symbol", "left_semi")
-        held = effective(daily, self.days).join(ema_at(self.market.stock_bars, self.days), ["symbol", "date"])
-        rows = held.select("symbol", F.col("score_date").alias("date"), F.col("date").alias("bar_date"), "ac", *I.STAGE1).filter(I._NO_NULL)
+        rows = self.daily().join(self.market.stocks.select("symbol"), "symbol", "left_semi").filter(I._NO_NULL)
         return rows.selectExpr("*", *PLACE)
 
     def profiles(self) -> DataFrame:
