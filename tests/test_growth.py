@@ -156,3 +156,10 @@ def test_sessions_meet_stored_lines_in_one_table(spark):
     s.daily()
     for made in (s._bars(), s._stage1()):
         assert "lines_" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_ranked_stocks_get_windows_for_their_measures(spark):
+    """The symbols are picked below the windows of the bars, not above them."""
+    m = Market(spark, SF)
+    plan = m.bars_of(m.stock_scores().select("symbol").distinct())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Window [") < plan.index("Join LeftSemi")
