@@ -64,6 +64,25 @@ def test_catalysts_at_the_ends_of_their_days(spark):
 
 
 
+def test_catalysts_of_many_days_by_cells(spark):
+    """Events of all days around the score dates against plain Python; a row is repeated six times at most and not gathered in the driver."""
+    rng = random.Random(8)
+    first = dt.date(1969, 12, 1)  # days before 1970 have negative numbers
+    stocks = [(first + dt.timedelta(k), s) for k in range(0, 90) for s in ("A", "B", "C") if rng.random() < 0.7]
+    events = [(n, rng.choice("ABCD"), first + dt.timedelta(rng.randrange(-40, 140)), t, f"{rng.choice(('8-K', '10-Q'))} filed") for n, t in enumerate(rng.choices(("news", "filing", "earnings"), k=60))]
+    rows = spark.createDataFrame(stocks, "score_date date, symbol string")
+    status = labels.catalysts(rows, spark.createDataFrame(events, "event_id long, symbol string, date date, event_type string, headline string"))
+    got = {(r.score_date, r.symbol): r.catalyst for r in status.collect()}
+    for day, s in stocks:
+        near = lambda t, a, b, day=day, s=s: [(e[2], e[0], e[4]) for e in events if e[1] == s and e[3] == t and a <= (e[2] - day).days <= b]
+        news, earnings, filings = near("news", -7, 0), near("earnings", 0, 30), near("filing", -14, 0)
+        parts = [f"recent_news:{len(news)}"] * bool(news) + [f"earnings:{min(earnings)[0]}" for _ in earnings[:1]] + [f"filing:{max(filings)[2].split()[0]}" for _ in filings[:1]]
+        assert got.pop((day, s)) == (" | ".join(parts) or "pending_source")
+    assert not got
+    assert labels.asked(rows).count() <= 6 * len(stocks)
+    plan = status._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [symbol" in plan and "BroadcastHashJoin [symbol" not in plan
+
 
 def test_a_feed_lands_alone(spark):
     root = provider.land(spark, SF, "earnings").removeprefix("file://")

@@ -20,18 +20,28 @@ NEWS_DAYS, FILING_DAYS = 7, 14
 CATALYST = "CASE WHEN n_news = 0 AND next_earnings IS NULL AND form IS NULL THEN 'pending_source' ELSE concat_ws(' | ', CASE WHEN n_news > 0 THEN concat('recent_news:', CAST(n_news AS STRING)) END, CASE WHEN next_earnings IS NOT NULL THEN concat('earnings:', CAST(next_earnings AS STRING)) END, CASE WHEN form IS NOT NULL THEN concat('filing:', form) END) END"
 
 
+#: Days of a score date on which an event counts, from and to, and how many they are.
+SPANS = {"news": (f"date_sub(score_date, {NEWS_DAYS})", "score_date", NEWS_DAYS + 1), "filing": (f"date_sub(score_date, {FILING_DAYS})", "score_date", FILING_DAYS + 1), "earnings": ("score_date", "date_add(score_date, 30)", 31)}
+
+
+def asked(stocks: DataFrame) -> DataFrame:
+    """(score_date, symbol, event_type, cell, from_, to_): the spans of the rows of stocks, by cells of as many days as a span has, of which it meets two at most."""
+    spans = "array(" + ", ".join(f"named_struct('event_type', '{t}', 'days', {n}, 'from_', {a}, 'to_', {b})" for t, (a, b, n) in SPANS.items()) + ")"
+    return stocks.selectExpr("score_date", "symbol", f"inline({spans})").selectExpr("score_date", "symbol", "event_type", "from_", "to_", "explode(sequence(unix_date(from_) div days, unix_date(to_) div days)) AS cell")
+
+
 def catalysts(stocks: DataFrame, events: DataFrame) -> DataFrame:
     """(score_date, symbol, catalyst) of the rows of stocks.
 
     An event counts on the dates near it: news for a week, filings for two, an
     earnings date on the month before it. A row of stocks, of which each date has
-    a few, is repeated for those days, so it meets its events by equality and
-    events are not repeated.
+    a few, is repeated for the cells of those days, and each event lies in one cell,
+    so they meet by equality. Both are shuffled: Spark takes the repeated rows for as
+    small as the rows and would gather them in the driver.
     """
-    spans = {"news": (f"date_sub(score_date, {NEWS_DAYS})", "score_date"), "filing": (f"date_sub(score_date, {FILING_DAYS})", "score_date"), "earnings": ("score_date", "date_add(score_date, 30)")}
-    wanted = "flatten(array(" + ", ".join(f"transform(sequence({a}, {b}), d -> named_struct('event_type', '{t}', 'event_date', d))" for t, (a, b) in spans.items()) + "))"
-    asked = stocks.selectExpr("score_date", "symbol", f"inline({wanted})")
-    met = asked.join(events.select("event_id", "symbol", "event_type", "headline", F.col("date").alias("event_date")), ["symbol", "event_type", "event_date"])
+    cell = "CASE event_type " + " ".join(f"WHEN '{t}' THEN unix_date(date) div {n}" for t, (_, _, n) in SPANS.items()) + " END AS cell"
+    seen = events.selectExpr("event_id", "symbol", "event_type", "CASE WHEN event_type = 'filing' THEN headline END AS headline", "date AS event_date", cell)
+    met = asked(stocks).hint("shuffle_hash").join(seen, ["symbol", "event_type", "cell"]).filter("event_date BETWEEN from_ AND to_")
     latest = F.max(F.when(F.col("event_type") == "filing", F.struct("event_date", "event_id", "headline")))
     counted = met.groupBy("score_date", "symbol").agg(F.count_if(F.col("event_type") == "news").alias("n_news"), F.min(F.when(F.col("event_type") == "earnings", F.col("event_date"))).alias("next_earnings"), latest.alias("l"))
     status = counted.selectExpr("score_date", "symbol", "n_news", "next_earnings", "element_at(split(trim(l.headline), ' +'), 1) AS form").selectExpr("score_date", "symbol", f"{CATALYST} AS catalyst")
