@@ -13,7 +13,7 @@ from tidewheel.plans import labels
 from tidewheel.plans.intraday import sector_mansfield
 from tidewheel.plans.scores import Market
 from tidewheel.plans.sessions import Sessions, ema_at
-from tidewheel.sources import provider
+from tidewheel.sources import adapter, provider
 
 SF = "/root/testdata/sf0.001"
 DAY = dt.date(2031, 3, 3)
@@ -182,3 +182,11 @@ def test_only_ranked_stocks_get_windows_for_their_measures(spark):
     m = Market(spark, SF)
     plan = m.bars_of(m.stock_scores().select("symbol").distinct())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Window [") < plan.index("Join LeftSemi")
+
+
+def test_lines_are_shuffled_once_and_without_names(spark):
+    """Symbols and proxies are made after the shuffle, which storing by symbol does not repeat."""
+    plan = adapter._stock_lines(spark, SF, 8).repartition(8, "symbol")._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("REPARTITION_BY_NUM"):]
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange hashpartitioning") == 2
+    assert "AS symbol" in plan and "AS symbol" not in dealt and "PX_" in plan and "PX_" not in dealt
