@@ -190,3 +190,23 @@ def test_lines_are_shuffled_once_and_without_names(spark):
     dealt = plan[plan.index("REPARTITION_BY_NUM"):]
     assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange hashpartitioning") == 2
     assert "AS symbol" in plan and "AS symbol" not in dealt and "PX_" in plan and "PX_" not in dealt
+
+
+def test_means_are_summed_in_the_order_of_the_bars(spark):
+    """Means of up to 20 bars have the bits of whole frames, so a close that is exactly its mean is above it where it is there."""
+    rng = random.Random(5)
+    rows = []
+    for s in ("A", "B", "C"):
+        for k in range(300):
+            c = [rng.randrange(501, 509) / 10 for _ in range(3)]
+            rows.append((s, DAY + dt.timedelta(k), c[0], max(c), min(c), c[2], c[2], float(rng.randrange(1, 50) * 1000)))
+    prices = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, ac double, volume double")
+    plain = prices
+    for layer in (features.BASE, features.RANGES, features.MEANS):
+        plain = plain.selectExpr("*", *(f"{x} AS {k}" for k, x in layer.items()))
+    exact = {k: x for k, x in features.FINAL.items() if k not in ("ma50", "above50")}  # the mean of 50 bars is made of pieces
+    plain = plain.selectExpr("symbol", "date", "ac", *(f"{x} AS {k}" for k, x in exact.items())).orderBy("symbol", "date").collect()
+    made = features.bars(prices).select(*plain[0].__fields__).orderBy("symbol", "date").collect()
+    ties = [r.above20 for r in plain if r.ma20 is not None and abs(r.ac - r.ma20) < 1e-9]
+    assert {True, False} == set(ties)
+    assert made == plain
