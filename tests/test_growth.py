@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+from tidewheel import registry
 from tidewheel.operators import features, store
 from tidewheel.plans import labels
 from tidewheel.plans.intraday import sector_mansfield
@@ -210,3 +211,15 @@ def test_means_are_summed_in_the_order_of_the_bars(spark):
     ties = [r.above20 for r in plain if r.ma20 is not None and abs(r.ac - r.ma20) < 1e-9]
     assert {True, False} == set(ties)
     assert made == plain
+
+
+def test_prices_lie_by_month_without_indicators(spark):
+    """Readers of prices by month write all prices and none of the forty columns that bars have."""
+    before = set(shared(spark))
+    store._STORED.clear()
+    registry.queries()["p03_prices_before_a_day"](spark, SF)
+    written = [p for p in set(shared(spark)) - before if p.rsplit("/", 1)[1].rsplit("-", 1)[0].endswith("-by-month")]
+    prices = adapter.prices_daily(spark, SF)
+    held = [spark.read.parquet(p) for p in written]
+    assert [set(df.columns) for df in held] == [{*prices.columns, "month"}]
+    assert held[0].count() == prices.count()

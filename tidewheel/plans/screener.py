@@ -13,7 +13,7 @@ from tidewheel.operators import merge, store
 from tidewheel.operators.oracle import cte, with_
 from tidewheel.plans.labels import Labelled
 from tidewheel.plans.scores import Market
-from tidewheel.sources.adapter import macro_series, market_events, read
+from tidewheel.sources.adapter import macro_series, market_events, prices_daily, read
 
 #: Sector, dividend yield over, debt to equity under, P/E under, P/B under; None does not filter.
 THRESHOLDS = (
@@ -157,8 +157,8 @@ def by_month(m: Market, name: str, build, by: str, first: str, last: str | None
 _DAY, _FROM, _TO, _BEFORE = "1996-06-03", "1995-01-02", "1995-03-31", "1995-04-03"
 READS = {
     "p01_scores_of_a_day": (lambda m: by_month(m, "stock_scores", m.stock_scores, "score_date", _DAY, _DAY).selectExpr("symbol", "rank", r6("score")), f"SELECT symbol, rank, {r6('score')} FROM x_stocks WHERE score_date = DATE '{_DAY}'"),
-    "p02_prices_of_a_range": (lambda m: by_month(m, "bars", lambda: m.bars, "date", _FROM, _TO).filter("symbol = 'SPY'").selectExpr("symbol", "date", r6("close")), f"SELECT symbol, date, {r6('close')} FROM x_prices WHERE symbol = 'SPY' AND date BETWEEN DATE '{_FROM}' AND DATE '{_TO}'"),
-    "p03_prices_before_a_day": (lambda m: by_month(m, "bars", lambda: m.bars, "date", _FROM, before=_BEFORE).filter("symbol LIKE 'ETF%'").selectExpr("symbol", "date", r6("close")), f"SELECT symbol, date, {r6('close')} FROM x_prices WHERE symbol LIKE 'ETF%' AND date >= DATE '{_FROM}' AND date < DATE '{_BEFORE}'"),
+    "p02_prices_of_a_range": (lambda m: by_month(m, "prices", lambda: prices_daily(m.spark, m.sf_dir), "date", _FROM, _TO).filter("symbol = 'SPY'").selectExpr("symbol", "date", r6("close")), f"SELECT symbol, date, {r6('close')} FROM x_prices WHERE symbol = 'SPY' AND date BETWEEN DATE '{_FROM}' AND DATE '{_TO}'"),
+    "p03_prices_before_a_day": (lambda m: by_month(m, "prices", lambda: prices_daily(m.spark, m.sf_dir), "date", _FROM, before=_BEFORE).filter("symbol LIKE 'ETF%'").selectExpr("symbol", "date", r6("close")), f"SELECT symbol, date, {r6('close')} FROM x_prices WHERE symbol LIKE 'ETF%' AND date >= DATE '{_FROM}' AND date < DATE '{_BEFORE}'"),
     "p04_symbols_of_a_sector": (lambda m: m.stocks.filter("lower(sector) = lower('Asia') AND startswith(symbol, 'S0000')").select("symbol", "name", "industry"), "SELECT symbol, name, industry FROM x_symbols WHERE asset_type = 'stock' AND upper(sector) = 'ASIA' AND symbol LIKE 'S0000%'"),
     "r11_best_of_the_last_day": (lambda m: m.stock_scores().join(F.broadcast(m.dates.agg(F.max("score_date").alias("score_date"))), "score_date").filter("rank <= 10").select("symbol", "rank"), "SELECT symbol, rank FROM x_stocks WHERE rank <= 10 AND score_date = (SELECT max(score_date) FROM x_dates)"),
     "r08_weak_sectors": (lambda m: m.sectors().selectExpr("*", f"CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')}, sector DESC) AS INT) AS from_below").filter("from_below <= 3").select("score_date", "sector", "from_below"), f"SELECT score_date, sector, from_below FROM (SELECT *, CAST(row_number() OVER (PARTITION BY score_date ORDER BY {rank_key('score')}, sector DESC) AS INT) AS from_below FROM x_sectors) WHERE from_below <= 3"),
